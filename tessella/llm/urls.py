@@ -103,7 +103,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RUL
     rows of the list change nothing; null ids pass; other columns are ignored; either table may be empty.
 
     Only rows that no rule decides and that pass the filter are shuffled, for the exact join on the canonical URL;
-    ``listed`` is null for rows that a rule decides.
+    ``listed`` is false for rows that a rule decides.
     """
     raw = F.col(url_column)
     names, verdicts = ([F.lit(x) for x in xs] or [F.lit("")] for xs in ([r.name for r in rules], [r.verdict for r in rules]))
@@ -113,7 +113,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RUL
     passed = may_hold(pages.sparkSession, bloom(keys, "canonical", keys.count()), "canonical")
     marked = keyed.withColumn("candidate", F.when(F.col("i").isNull() & (F.col("canonical") != ""), passed).otherwise(F.lit(False)))
     out = ["page_id", "host", "path", "i", "canonical", "listed"]
-    sure = marked.where("not candidate").withColumn("listed", F.when(F.col("i").isNull(), F.lit(False))).select(*out)
+    sure = marked.where("not candidate").withColumn("listed", F.lit(False)).select(*out)
     found = marked.where("candidate").join(keys.withColumn("listed", F.lit(True)), "canonical", "left")
     return sure.unionByName(found.withColumn("listed", F.coalesce("listed", F.lit(False))).select(*out)).select(
         "page_id",
@@ -156,6 +156,6 @@ best AS (
   WHERE canonical <> '' AND regexp_matches(host, '(^|\.)(adult-x|spam-farm|cheap-pills|ads-track|casino-win|free-bets)\.')
 )
 SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict, canonical,
-  CASE WHEN rule IS NULL THEN canonical IN (SELECT canonical FROM listed) END AS listed
+  rule IS NULL AND canonical IN (SELECT canonical FROM listed) AS listed
 FROM keyed LEFT JOIN best USING (host, path)
 """
