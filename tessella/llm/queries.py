@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, tokens, urls
+from tessella.llm import chat, contamination, tokens, urls
 
 QUERIES = {
     "op4_urls": urls.op4_urls,
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
+    "op10_contamination": contamination.op10_contamination,
 }
 
 ORACLE_SQL = {
     "op4_urls": urls.OP4_SQL,
     "op9_chat": chat.OP9_SQL,
+    "op10_contamination": contamination.OP10_SQL,
 }

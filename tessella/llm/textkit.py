@@ -96,7 +96,7 @@ class Texts:
 
     def __init__(self, column: pa.Array):
         column = pc.fill_null(column.cast(pa.large_string()), "")
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(column)], pa.int64()), column), "\n")
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(column)], pa.int64()), column), pa.scalar("\n", pa.large_string()))
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) if len(column) else np.zeros(0, np.int64)
         raw = joined[0].as_buffer() if len(column) else pa.py_buffer(b"")
         self.buf = np.empty(raw.size + 1, np.uint8)
@@ -193,3 +193,63 @@ def map_texts(df, fn, schema: str, column: str = "text"):
                     yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def runs(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of true places in each text: first places, ends (both counted from the text's start), and offsets of the texts' runs."""
+    n = len(mask)
+    opens, closes = mask.copy(), mask.copy()
+    if n:
+        first = np.zeros(n + 1, bool)
+        first[at[:-1]] = True
+        opens[1:] &= ~mask[:-1] | first[1:n]
+        closes[:-1] &= ~mask[1:] | first[1:n]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    offsets = np.searchsorted(start, at)
+    base = np.repeat(at[:-1], np.diff(offsets))
+    return start - base, end - base, offsets
+
+
+def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+class Lookup:
+    """Which values are among some fixed ones, and where: a bit table first, then a binary search."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        bits = min(24, max(12, int(len(self.values) * 16).bit_length()))
+        self.mask = U64((1 << bits) - 1)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.values & self.mask).astype(np.int64)] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in x of values that are there, and their indices in ``values``."""
+        if not len(self.values) or not len(x):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.table[(x & self.mask).astype(np.int64)])
+        i = np.minimum(np.searchsorted(self.values, x[at]), len(self.values) - 1)
+        ok = self.values[i] == x[at]
+        return at[ok], i[ok]
+
+
+def text_udf(fn, schema: str):
+    """A column function of texts: fn takes an Arrow array of texts (about GROUP_BYTES) and gives a dict of columns; the result is a struct."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    fields = list(to_arrow_schema(kind))
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        parts = []
+        for part in groups(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
+            got = fn(part.column(0))
+            parts.append(pa.StructArray.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in fields], fields=fields))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+
+    return run
