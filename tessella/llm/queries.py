@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, contamination, tokens, urls
+from tessella.llm import chat, contamination, quality, tokens, urls
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_rules": quality.op2_rules,
     "op4_urls": urls.op4_urls,
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
