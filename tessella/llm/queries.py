@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, contamination, quality, tokens, urls
+from tessella.llm import chat, contamination, mixing, quality, tokens, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_rules": quality.op2_rules,
+    "op3_mixing": mixing.op3_mixing,
     "op4_urls": urls.op4_urls,
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
