@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, contamination, mixing, quality, tokens, urls
+from tessella.llm import chat, contamination, langid, mixing, quality, tokens, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_rules": quality.op2_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_urls": urls.op4_urls,
+    "op7_language": langid.op7_language,
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
     "op10_contamination": contamination.op10_contamination,
