@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, contamination, langid, mixing, quality, tokens, urls
+from tessella.llm import chat, contamination, langid, mixing, quality, repeats, tokens, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_rules": quality.op2_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_urls": urls.op4_urls,
+    "op6_repeats": repeats.op6_repeats,
     "op7_language": langid.op7_language,
     "op8_tokens": tokens.op8_tokens,
     "op9_chat": chat.op9_chat,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_urls": urls.OP4_SQL,
+    "op6_repeats": repeats.OP6_SQL,
     "op9_chat": chat.OP9_SQL,
     "op10_contamination": contamination.OP10_SQL,
 }
