@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, contamination, langid, mixing, quality, repeats, tokens, urls
+from tessella.llm import chat, contamination, langid, mixing, nearcopies, quality, repeats, tokens, urls
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_rules": quality.op2_rules,
     "op3_mixing": mixing.op3_mixing,
     "op4_urls": urls.op4_urls,
+    "op5_nearcopies": nearcopies.op5_nearcopies,
     "op6_repeats": repeats.op6_repeats,
     "op7_language": langid.op7_language,
     "op8_tokens": tokens.op8_tokens,
