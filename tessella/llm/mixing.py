@@ -14,14 +14,14 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
 from tessella.llm.textkit import SPACED, Texts, text_udf
 
 #: Documents of a source that are handled in one block, and sources that the targets are worked out for at most.
-BLOCK, MAX_SOURCES = 4096, 1_000_000
+BLOCK, MAX_SOURCES = 1024, 1_000_000
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 
 
@@ -92,7 +92,7 @@ def flier(level: int, last: bool):
     """The flight of one block, in an order and with draws that depend on its rows alone."""
 
     def fly(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["u", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        block = block.sort_values(["u", "doc_id", "text_hash"], kind="stable").reset_index(drop=True)
         u = np.modf(block["u"].to_numpy() * float((1 << 20) * (level + 1)))[0]
         return block.assign(p=flight(block["p"].to_numpy(), block["size"].to_numpy(), u, last)).drop(columns="part")
 
@@ -113,19 +113,19 @@ def mix_sources(
     text_column: str = "text",
     source_column: str = "source",
 ) -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
+    """One row per row of docs: doc_id, text_hash, source, size, source_size, target, copies, taken.
 
     Sources in the order of their code points, null last, have the weights in turn, and share ``share`` times all
     words, none over ``cap`` times its own. ``copies`` says how often the mix takes a document, ``taken`` is
-    copies * size. A document's draw depends on its id and size, so reruns agree. A null text has size 0;
+    copies * size. A document's draw depends on its id and text, so reruns agree. A null text has size 0;
     documents of size 0 are drawn with their source like others. Repeated rows are documents of their own (rows
-    that agree in id and size share their draw, but not their place). Other columns are ignored; an empty table
+    that agree in id and text share their draw, but not their place). Other columns are ignored; an empty table
     gives no rows. Sources are a bounded set: beyond MAX_SOURCES it raises an error.
     """
     spark = docs.sparkSession
     size = text_udf(word_counts, "size long")(F.col(text_column))
-    sized = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), size["size"].alias("size"))
-    sized = written(sized.withColumn("u", drawn(F.col("doc_id"), F.col("size"), seed=seed)), "sizes")
+    sized = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("text_hash"), F.col(source_column).alias("source"), size["size"].alias("size"))
+    sized = written(sized.withColumn("u", drawn(F.col("doc_id"), F.col("text_hash"), seed=seed)), "sizes")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -137,13 +137,13 @@ def mix_sources(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     state = sized.join(plan, F.col("source").eqNullSafe(F.col("key")), "left").drop("key").withColumn("rate", rate)
     state = state.withColumn("sure", F.floor("rate")).withColumn("p", F.col("rate") - F.col("sure")).drop("rate").withColumn("m", F.col("n"))
-    schema = "doc_id long, source string, size long, u double, source_size long, target double, n long, sure long, p double, m long"
+    schema = "doc_id long, text_hash long, source string, size long, u double, source_size long, target double, n long, sure long, p double, m long"
     state = state.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in schema.split(", ")])
     most, level, done = max([r["n"] for r in per], default=0), 0, []
     while True:
         last = most <= BLOCK
         parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1))
-        place = F.pmod(F.xxhash64(F.lit(level), "doc_id", "u"), parts)
+        place = F.pmod(F.xxhash64(F.lit(level), "doc_id", "text_hash"), parts)
 
         fixed = state.where("p = 0 OR p = 1")
         moved = state.where("p > 0 AND p < 1").withColumn("part", place).groupBy("source", "part").applyInPandas(flier(level, last), schema)
@@ -158,7 +158,22 @@ def mix_sources(
     for x in done[1:]:
         out = out.unionByName(x)
     copies = (F.col("sure") + F.col("p").cast("long")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "text_hash", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target, copies and taken from mix_sources(), whose options it has.
+
+    Rows that agree in id and text are told apart by a number among them. Columns of docs that have the name of an added one are replaced.
+    """
+    plan = mix_sources(docs, id_column=id_column, text_column=text_column, **options)
+    added = ["size", "source_size", "target", "copies", "taken"]
+    alike = Window.partitionBy("key_id", "key_hash")
+    own = docs.drop(*added).withColumn("key_id", F.col(id_column)).withColumn("key_hash", F.xxhash64(text_column)).withColumn("key_n", F.row_number().over(alike.orderBy("key_hash")))
+    plan = plan.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), *added)
+    plan = plan.withColumn("key_n", F.row_number().over(alike.orderBy("copies"))).where("copies > 0").withColumnsRenamed({k: f"plan_{k}" for k in ("key_id", "key_hash", "key_n")})
+    on = F.col("key_id").eqNullSafe(F.col("plan_key_id")) & (F.col("key_hash") == F.col("plan_key_hash")) & (F.col("key_n") == F.col("plan_key_n"))
+    return own.join(plan, on).select(*[c for c in own.columns if not c.startswith("key_")], *added)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
