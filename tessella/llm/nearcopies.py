@@ -187,11 +187,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: st
     contents = sketches.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     banded = contents.where("node IS NOT NULL").select("node", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("band", "v")
-    candidates = components(banded.join(least, "band").where("node <> v").select(F.col("node").alias("u"), "v"), "candidates")
+    candidates = components(banded.join(least.hint("merge"), "band").where("node <> v").select(F.col("node").alias("u"), "v"), "candidates")
     members = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component").distinct())
     parts = candidates.groupBy("component").agg(F.ceil((F.count("*") + 1) / BLOCK).cast("int").alias("parts")).select("component", "parts")
     members = members.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    placed = own.select("doc_id", packed(F.col("text")).alias("packed")).join(members, F.col("doc_id") == F.col("node")).drop("doc_id")
+    placed = own.select("doc_id", packed(F.col("text")).alias("packed")).join(members.hint("merge"), F.col("doc_id") == F.col("node")).drop("doc_id")
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "packed")
 
