@@ -28,6 +28,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 6, 36
 #: Documents of one group of candidates that are compared in one task; larger groups are compared block by block.
 BLOCK = 8192
+#: Documents whose signatures are worked out at once: each takes some thousand points.
+AT_ONCE = 128
 
 
 def bags(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +106,10 @@ def sketch(texts: pa.Array) -> dict:
     a, b, text, shingle, weight = bags(texts)
     n = len(texts)
     some = np.bincount(text, minlength=n) > 0
-    h = bands(signatures(n, text, shingle, weight)).view(np.int64)
+    h = np.zeros((n, BANDS), np.int64)
+    for i in range(0, n, AT_ONCE):
+        k = slice(*np.searchsorted(text, [i, i + AT_ONCE]))
+        h[i : i + AT_ONCE] = bands(signatures(min(AT_ONCE, n - i), text[k] - i, shingle[k], weight[k])).view(np.int64)
     none = pa.array(~some)
     held = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * h.shape[1], pa.int32()), pa.array(h.ravel()))
     null = lambda x: pa.array(x.view(np.int64), pa.int64(), mask=~some)
