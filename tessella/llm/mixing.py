@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,16 +44,16 @@ def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray, land: bool) -> np.nda
     """The probabilities after the flight phase, in which sums of p and of p * size stay as they are; at most two are left between 0 and 1.
 
     With ``land`` these are settled too: first along the token constraint alone, then the last by itself. u: uniform
-    draws, one for each document.
+    draws, as many as documents: each move settles one document at least, and takes the next draw.
     """
-    p, size, u = p.tolist(), size.tolist(), u.tolist()
+    p, size, draws = p.tolist(), size.tolist(), iter(u.tolist())
     held: list[int] = []
     i, n, eps = 0, len(p), 1e-9
 
-    def move(units: list[int], by: list[float], draw: float) -> None:
+    def move(units: list[int], by: list[float]) -> None:
         up = min((1 - p[k]) / b if b > 0 else -p[k] / b for k, b in zip(units, by) if b)
         down = min(p[k] / b if b > 0 else (p[k] - 1) / b for k, b in zip(units, by) if b)
-        step = up if draw * (up + down) < down else -down
+        step = up if next(draws) * (up + down) < down else -down
         for k, b in zip(units, by):
             x = p[k] + step * b
             p[k] = 0.0 if x < eps else 1.0 if x > 1 - eps else x
@@ -71,15 +70,15 @@ def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray, land: bool) -> np.nda
         if not any(by):
             by = [1.0, -1.0, 0.0]
         top = max(map(abs, by))
-        move(held, [x / top for x in by], u[held[0]])
+        move(held, [x / top for x in by])
         held = [k for k in held if 0 < p[k] < 1]
     if land:
         while held:
             if len(held) == 2 and size[held[0]] and size[held[1]]:
                 a, b = size[held[0]], size[held[1]]
-                move(held, [b / max(a, b), -a / max(a, b)], u[held[0]])
+                move(held, [b / max(a, b), -a / max(a, b)])
             else:
-                p[held[-1]] = 1.0 if u[held[-1]] < p[held[-1]] else 0.0
+                p[held[-1]] = 1.0 if next(draws) < p[held[-1]] else 0.0
             held = [k for k in held if 0 < p[k] < 1]
     return np.array(p)
 
@@ -91,10 +90,13 @@ def drawn(*key: Column, seed: int) -> Column:
 def flier(level: int, last: bool):
     """The flight of one block, in an order and with draws that depend on its rows alone."""
 
-    def fly(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["u", "doc_id", "text_hash"], kind="stable").reset_index(drop=True)
-        u = np.modf(block["u"].to_numpy() * float((1 << 20) * (level + 1)))[0]
-        return block.assign(p=flight(block["p"].to_numpy(), block["size"].to_numpy(), u, last)).drop(columns="part")
+    def fly(block: pa.Table) -> pa.Table:
+        u, ids = block["u"].to_numpy(), block["doc_id"].fill_null(0).to_numpy()
+        order = np.lexsort((ids, block["text_hash"].to_numpy(), u))
+        block = block.take(pa.array(order))
+        draws = np.modf(u[order] * float((1 << 20) * (level + 1)))[0]
+        p = flight(block["p"].to_numpy(), block["size"].to_numpy(), draws, last)
+        return block.set_column(block.schema.get_field_index("p"), "p", pa.array(p)).drop_columns(["part"])
 
     return fly
 
@@ -146,7 +148,7 @@ def mix_sources(
         place = F.pmod(F.xxhash64(F.lit(level), "doc_id", "text_hash"), parts)
 
         fixed = state.where("p = 0 OR p = 1")
-        moved = state.where("p > 0 AND p < 1").withColumn("part", place).groupBy("source", "part").applyInPandas(flier(level, last), schema)
+        moved = state.where("p > 0 AND p < 1").withColumn("part", place).groupBy("source", "part").applyInArrow(flier(level, last), schema)
         if last:
             done += [fixed, moved]
             break
@@ -168,12 +170,12 @@ def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """
     plan = mix_sources(docs, id_column=id_column, text_column=text_column, **options)
     added = ["size", "source_size", "target", "copies", "taken"]
-    alike = Window.partitionBy("key_id", "key_hash")
-    own = docs.drop(*added).withColumn("key_id", F.col(id_column)).withColumn("key_hash", F.xxhash64(text_column)).withColumn("key_n", F.row_number().over(alike.orderBy("key_hash")))
-    plan = plan.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash"), *added)
-    plan = plan.withColumn("key_n", F.row_number().over(alike.orderBy("copies"))).where("copies > 0").withColumnsRenamed({k: f"plan_{k}" for k in ("key_id", "key_hash", "key_n")})
-    on = F.col("key_id").eqNullSafe(F.col("plan_key_id")) & (F.col("key_hash") == F.col("plan_key_hash")) & (F.col("key_n") == F.col("plan_key_n"))
-    return own.join(plan, on).select(*[c for c in own.columns if not c.startswith("key_")], *added)
+    alike = Window.partitionBy("__key_id", "__key_hash")
+    own = docs.drop(*added).withColumn("__key_id", F.col(id_column)).withColumn("__key_hash", F.xxhash64(text_column)).withColumn("__key_n", F.row_number().over(alike.orderBy("__key_hash")))
+    plan = plan.select(F.col("doc_id").alias("__key_id"), F.col("text_hash").alias("__key_hash"), *added)
+    plan = plan.withColumn("__key_n", F.row_number().over(alike.orderBy("copies"))).where("copies > 0").withColumnsRenamed({k: f"{k}_plan" for k in ("__key_id", "__key_hash", "__key_n")})
+    on = F.col("__key_id").eqNullSafe(F.col("__key_id_plan")) & (F.col("__key_hash") == F.col("__key_hash_plan")) & (F.col("__key_n") == F.col("__key_n_plan"))
+    return own.join(plan, on).select(*[c for c in own.columns if not c.startswith("__key_")], *added)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
