@@ -21,11 +21,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the importance sample; those that the target's model rules out go."""
-    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("weight.kept").select(*COLUMNS)
+    return resample(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("weight.kept").select(*COLUMNS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest id. Of rows that share an id one stays."""
+    docs = docs.select(*COLUMNS)
     gone = near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
     left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -36,20 +37,20 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words that start earlier in the corpus; those that lose all their words go."""
-    cut = remove_repeats(docs)
+    cut = remove_repeats(docs.select(*COLUMNS))
     changed = F.col("repeats.n_removed") > 0
     return cut.where(~changed | (F.col("repeats.n_removed") < F.col("repeats.n_words"))).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_contamination(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("found.hit_start") == 0).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, each with the number of its copies."""
-    return mixed(docs).select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
+    return mixed(docs.select(*COLUMNS)).select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [("quality", quality), ("near_copies", near_copies), ("substrings", substrings), ("decontaminated", decontaminated), ("mix", mix)]

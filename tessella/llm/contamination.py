@@ -125,10 +125,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, k: in
     for at, (ids, texts) in enumerate(steps):
         held = docs.sparkSession.sparkContext.broadcast(Fingerprints(ids, texts, n, k))
         match = text_udf(lambda t, held=held: held.value.match(t), FOUND)
-        name = "found" if at == 0 else "found_now"
+        name = "found" if at == 0 else "__found_now"
         out = out.withColumn(name, match(F.col(text_column)))
         if at:
-            out = written(out.withColumn("found", merged("found", "found_now")).drop("found_now"), "contamination")
+            out = written(out.withColumn("found", merged("found", "__found_now")).drop("__found_now"), "contamination")
     return out
 
 

@@ -85,7 +85,7 @@ def target_ids(labels: DataFrame, limit: int = MAX_LABELS) -> np.ndarray:
     return np.sort(got["doc_id"].to_numpy().astype(np.int64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS) -> Ratio:
+def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS, id_column: str = "doc_id", text_column: str = "text") -> Ratio:
     """The ratio of the target's model (texts of up to ``limit`` trusted ids) to the raw corpus's (all texts).
 
     Without any trusted text all ratios are 0. Null texts hold no n-grams.
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS) -> Ratio:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     got = own.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = got["bucket"].to_numpy()

@@ -31,9 +31,9 @@ def weigh(docs: DataFrame, ratio: ngrams.Ratio, seed: int, id_column: str = "doc
         n, total = held.value.totals(texts)
         return {"n_grams": n, "log_weight": total}
 
-    scored = docs.drop("weight").withColumn("score", text_udf(score, "n_grams long, log_weight double")(F.col(text_column)))
-    key = F.col("score.log_weight") + gumbel(seed, F.col(id_column), F.xxhash64(text_column))
-    return scored.withColumn("weight", F.struct("score.n_grams", "score.log_weight", key.alias("key"))).drop("score")
+    scored = docs.drop("weight").withColumn("__score", text_udf(score, "n_grams long, log_weight double")(F.col(text_column)))
+    key = F.col("__score.log_weight") + gumbel(seed, F.col(id_column), F.xxhash64(text_column))
+    return scored.withColumn("weight", F.struct("__score.n_grams", "__score.log_weight", key.alias("key"))).drop("__score")
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: int = 4096) -> float:
@@ -55,17 +55,26 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: i
         lo, hi = r["lo"], r["hi"]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = MARGIN, seed: int = 1, max_labels: int = ngrams.MAX_LABELS) -> DataFrame:
+def resample(
+    docs: DataFrame,
+    labels: DataFrame,
+    k: int | None = None,
+    margin: float = MARGIN,
+    seed: int = 1,
+    max_labels: int = ngrams.MAX_LABELS,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
     """docs with a struct column ``weight`` (n_grams, log_weight, key, kept): importance resampling without replacement.
 
     The weight of a document is P(text | target) / P(text | raw) under hashed n-gram multinomials. Kept are the k
     documents with the largest log weight plus Gumbel noise, which is a draw of k without replacement in
     proportion to the weights. Left out, k is the number of documents whose log weight is above -margin, that is,
     which the target doesn't rule out. Rows with keys equal to the k-th stand or fall together, so repeated rows
-    share a fate. A null or empty text has weight 1 (log 0). Null ids are ids like any other. An empty table gives
+    share a fate. Other columns pass through, one named ``weight`` is replaced. A null or empty text has weight 1 (log 0). Null ids are ids like any other. An empty table gives
     an empty result; without trusted labels all weights are 1 and, for k left out, all rows stay.
     """
-    weighed = weigh(docs, ngrams.fit(docs, labels, max_labels), seed)
+    weighed = weigh(docs, ngrams.fit(docs, labels, max_labels, id_column, text_column), seed, id_column, text_column)
     keys = written(weighed.select("weight.log_weight", "weight.key"), "weights")
     n, fit = keys.agg(F.count("*"), F.count_if(F.col("log_weight") > -margin)).first()
     k = fit if k is None else min(k, n)
@@ -131,7 +140,7 @@ def measure(texts: pa.Array, window: int = 8) -> dict:
     }
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labels: int = ngrams.MAX_LABELS, text_column: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labels: int = ngrams.MAX_LABELS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with a struct column ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, mean_ratio, kept.
 
     A document fails the base rules if it has under 20 words, or if over 30 % of its words are in windows of 8
@@ -140,7 +149,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
     verdict; null ids can't be labelled; other columns pass through, one named ``rules`` is replaced; an empty
     table gives no rows; without trusted labels all ratios are 0.
     """
-    held = docs.sparkSession.sparkContext.broadcast(ngrams.fit(docs, labels, max_labels))
+    held = docs.sparkSession.sparkContext.broadcast(ngrams.fit(docs, labels, max_labels, id_column, text_column))
 
     def score(texts: pa.Array) -> dict:
         n, total = held.value.totals(texts)

@@ -277,11 +277,11 @@ def cut(texts: pa.Array, removed: pa.Array, window: int, joined: bool) -> dict:
 
 
 def with_repeats(docs: DataFrame, window: int, block: int, id_column: str, text_column: str) -> DataFrame:
-    """docs with ``packed_text`` in place of the text, and ``removed``."""
-    found = find_repeats(docs, window, block, id_column, text_column).withColumnsRenamed({"doc_id": "key_id", "text_hash": "key_hash"})
+    """docs with ``__packed_text`` in place of the text, and ``__removed``."""
+    found = find_repeats(docs, window, block, id_column, text_column).withColumnsRenamed({"doc_id": "__key_id", "text_hash": "__key_hash", "removed": "__removed"})
     key = row_key(id_column, text_column)
-    keyed = docs.withColumns({"key_id": key[0], "key_hash": key[1], "packed_text": packed(F.col(text_column))}).drop(text_column)
-    return keyed.join(found, ["key_id", "key_hash"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>"))).drop("key_id", "key_hash")
+    keyed = docs.withColumns({"__key_id": key[0], "__key_hash": key[1], "__packed_text": packed(F.col(text_column))}).drop(text_column)
+    return keyed.join(found, ["__key_id", "__key_hash"], "left").withColumn("__removed", F.coalesce("__removed", F.array().cast("array<int>"))).drop("__key_id", "__key_hash")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -289,17 +289,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column
 
     A text that loses nothing stays as it is, one that loses words keeps the white space inside its kept runs,
     with one blank where words went. Null texts come out as null, and lose nothing. Other columns pass through,
-    but for the names key_id, key_hash, packed_text, removed and repeats. An empty table gives no rows.
+    one named ``repeats`` is replaced. An empty table gives no rows.
     """
-    own = docs.drop("key_id", "key_hash", "packed_text", "removed", "repeats")
+    own = docs.drop("repeats")
 
     @F.arrow_udf("n_words long, n_removed long, kept string")
     def run(texts: pa.Array, removed: pa.Array) -> pa.Array:
         got = cut(unpacked(texts), removed, window, False)
         return pa.StructArray.from_arrays([pa.array(got["n_words"], pa.int64()), pa.array(got["n_removed"], pa.int64()), pa.array(got["kept"], pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
 
-    out = with_repeats(own, window, block, id_column, text_column).withColumn("cut", run("packed_text", "removed"))
-    out = out.withColumn(text_column, F.when(F.col("packed_text").isNotNull(), F.col("cut.kept"))).withColumn("repeats", F.struct("cut.n_words", "cut.n_removed"))
+    out = with_repeats(own, window, block, id_column, text_column).withColumn("__cut", run("__packed_text", "__removed"))
+    out = out.withColumn(text_column, F.when(F.col("__packed_text").isNotNull(), F.col("__cut.kept"))).withColumn("repeats", F.struct("__cut.n_words", "__cut.n_removed"))
     return out.select(*own.columns, "repeats")
 
 
@@ -313,7 +313,7 @@ def op6_repeats(spark, sf_dir: str) -> DataFrame:
             [pa.array(got["n_words"], pa.int64()), pa.array(got["n_removed"], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got["kept"]])], ["n_words", "n_removed", "kept_sha256"]
         )
 
-    return with_repeats(docs, 20, 10, "doc_id", "text").select("doc_id", digest("packed_text", "removed").alias("d")).select("doc_id", "d.*")
+    return with_repeats(docs, 20, 10, "doc_id", "text").select("doc_id", digest("__packed_text", "__removed").alias("d")).select("doc_id", "d.*")
 
 
 OP6_SQL = r"""
