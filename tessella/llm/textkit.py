@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Texts are handled in groups of about this many bytes, so that temporaries stay small.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 400_000
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
