@@ -350,3 +350,31 @@ def csv_cells(spark, d):
 
     t = Tables(spark, d).part.select("p_partkey", F.concat("p_name", F.lit(', "'), "p_type").alias("label"), "p_retailprice", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("p_size"))
     return from_text(t.select(to_text(*t.columns).alias("line")), "line", "p_partkey long, label string, p_retailprice double, p_size int")
+
+
+@query("SELECT CAST(10 + 3 * i AS BIGINT) AS series, CAST(7 AS INTEGER) AS filled, CAST(NULL AS INTEGER) IS NULL AS nothing FROM unnest(range(1000)) AS t(i)")
+def generate_and_fill(spark, d):
+    from tessella.sources import generators as G
+
+    return G.generate(spark, 1000, [("series", "long", G.serial(10, 3)), ("filled", "int", G.fixed(7)), ("nothing", "boolean", F.lit(None).cast("int").isNull())])
+
+
+@query("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS keys FROM lineitem")
+def hash_distribution(spark, d):
+    """Equal keys hash alike, and no two of these keys share a 64-bit hash."""
+    t = Tables(spark, d).lineitem
+    return R.aggregate(t, [], [F.count("*").alias("n"), F.count_distinct(P.hashed("l_orderkey")).alias("keys")])
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber, b.o_custkey FROM lineitem a JOIN orders b ON a.l_orderkey = b.o_orderkey WHERE a.l_quantity > 49 AND b.o_custkey % 2 = 0")
+def gather_by_key(spark, d):
+    """Values looked up by key, and only where they meet a predicate."""
+    t = Tables(spark, d)
+    return R.hash_join(t.lineitem.where("l_quantity > 49"), t.orders.where("o_custkey % 2 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+@query("SELECT e1.event_type, count(*) AS n FROM events e1 GROUP BY e1.event_type HAVING avg(value) > (SELECT avg(value) * 0.5 FROM events)")
+def scalar_subquery(spark, d):
+    t = Tables(spark, d).events
+    mean = t.agg((F.avg("value") * 0.5).alias("m"))
+    return R.nested_loop_join(R.aggregate(t, ["event_type"], [F.count("*").alias("n"), F.avg("value").alias("v")]), mean, F.col("v") > F.col("m")).select("event_type", "n")
