@@ -9,22 +9,24 @@ from tessella.llm.shared import written
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, component) for all ends of the edges (u, v) but those that are the smallest of their component, which names it."""
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, name)
+    """(node, component) for all ends of the edges (u, v) but those that are the smallest of their component, which names it.
+
+    Loops and repeated edges don't matter. What is joined is read from tables, so that the planner can split a
+    vertex that many edges meet in.
+    """
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-        # large star: the larger neighbours of u go to the least of all its neighbours
+        # large star: the larger neighbours of u go to the least of u and all its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        edges = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = edges.distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        edges = written(larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         # small star: u and its smaller neighbours go to the least of these
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u")
-        edges = least.select("u", F.col("m").alias("v")).unionByName(moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        edges = written(edges, name)
+        least = written(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+        moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = written(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), name)

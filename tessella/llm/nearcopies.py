@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: st
         return pa.Table.from_pydict({"u": [a for a, _ in edges], "v": [b for _, b in edges]}, schema=LINKS)
 
     classes = components(placed.groupBy("component", "i", "j").applyInArrow(verify, "u long, v long"), "classes")
-    named = contents.select("a", "b", "node").join(classes, "node", "left").select("a", "b", F.coalesce("component", "node").alias("class_of"))
+    # a table, so that the planner can split a text that many documents have
+    named = written(contents.select("a", "b", "node").join(classes, "node", "left").select("a", "b", F.coalesce("component", "node").alias("class_of")), "named")
     out = sketches.select("doc_id", "a", "b").join(named, ["a", "b"], "left").select("doc_id", F.coalesce("class_of", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
-from tessella.llm.textkit import SPACED, U64, Texts, Words, covered, groups, lists, runs, text_udf, whole, windows
+from tessella.llm.textkit import SPACED, U64, Texts, Words, covered, groups, lists, runs, whole, windows
 
 #: Bytes of text in a chunk, and entries that a cell of the hash space has about.
 CHUNK_BYTES, CELL = 16 << 20, 1 << 20

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 
 import corpus_pipeline  # noqa: E402
 from tessella.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
-from tests.llm.test_llm import CLASHES, SCHEMA, brute_classes, brute_contamination, brute_repeats, hard, words  # noqa: E402, F401
+from tests.llm.test_llm import SCHEMA, brute_classes, brute_contamination, brute_repeats, hard, words  # noqa: E402, F401
 
 duckdb = pytest.importorskip("duckdb")
 DATA = "/root/testdata/sf0.001"
