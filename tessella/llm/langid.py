@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textkit import Texts, groups, text_udf
+from tessella.llm.textkit import Texts, give_back, groups, text_udf
 
 #: Symbols that are told apart (the most frequent ones; others share the last code), labelled texts learned from for each language at most, and languages.
 ALPHABET, BITS, MAX_TEXTS, MAX_LANGUAGES = 64, 6, 3000, 128
@@ -153,6 +153,7 @@ def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Model | None:
                 held.append(np.unique(fours(b, at, 8, 32).astype(np.uint64) | lang << np.uint64(32), return_counts=True))
                 if len(held) > 16:
                     shrink()
+            give_back()
         shrink()
         for keys, n in held:
             yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int32)), pa.array((keys & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tessella.llm.graph import components
 from tessella.llm.repeats import packed, unpacked
 from tessella.llm.shared import written
-from tessella.llm.textkit import _WORD_BASE, SPACED, U64, Texts, groups, mix, prefix, span_hash, text_udf, whole, windows
+from tessella.llm.textkit import _WORD_BASE, SPACED, U64, Texts, give_back, groups, mix, prefix, span_hash, text_udf, whole, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Rows in a band and bands: a pair of similarity 0.8 shares no band with a probability of 2e-5.
@@ -205,6 +205,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: st
         found = [t for b in rows.to_batches() for part in groups(pa.RecordBatch.from_arrays([unpacked(b.column("packed"))], ["text"]), "text") for t in tokens(part.column(0))]
         at = np.concatenate(([0], np.cumsum([len(t) for t in found])))
         edges = forest(rows["node"].to_numpy(), rows["side"].to_numpy(), at, np.concatenate(found), threshold)
+        give_back()
         return pa.Table.from_pydict({"u": [a for a, _ in edges], "v": [b for _, b in edges]}, schema=LINKS)
 
     classes = components(placed.groupBy("component", "i", "j").applyInArrow(verify, "u long, v long"), "classes")

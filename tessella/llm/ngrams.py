@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.textkit import SPACED, U64, Texts, groups, mix, whole
+from tessella.llm.textkit import SPACED, U64, Texts, give_back, groups, mix, whole
 
 #: Buckets of the model, and labelled rows that the target is fitted on at most: both bound what is collected and broadcast.
 BUCKETS, MAX_LABELS = 1 << 16, 200_000
@@ -101,6 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS, id_column:
                 chosen = np.isin(ids, trusted.value)
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[chosen[own]], minlength=BUCKETS)
+            give_back()
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 

@@ -22,10 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
-from tessella.llm.textkit import SPACED, U64, Texts, Words, covered, groups, lists, runs, whole, windows
+from tessella.llm.textkit import SPACED, U64, Texts, Words, covered, give_back, groups, lists, runs, whole, windows
 
 #: Bytes of text in a chunk, and entries that a cell of the hash space has about.
-CHUNK_BYTES, CELL = 16 << 20, 1 << 20
+CHUNK_BYTES, CELL = 4 << 20, 1 << 20
 MESSAGE = pa.schema(
     [("cell", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("gaps", pa.binary()), ("wide", pa.binary()), ("hash", pa.binary()), ("ids", pa.binary()), ("flags", pa.binary()), ("base", pa.int64()), ("table", pa.binary()), ("offsets", pa.binary())]
 )
@@ -141,7 +141,9 @@ def send(df: DataFrame, gather: Callable[[Chunk, pa.RecordBatch], None], cells:
                 if chunk.bytes >= CHUNK_BYTES:
                     yield from chunk.messages()
                     chunk = Chunk(cells, ordered)
+                    give_back()
         yield from chunk.messages()
+        give_back()
 
     return df.mapInArrow(run, MESSAGE_DDL)
 
@@ -185,6 +187,7 @@ def judge_cells(messages: DataFrame, ordered: bool) -> DataFrame:
                 first, gaps, wide = close(opened(r["first"], r["gaps"], r["wide"])[mine])
                 for k, v in zip(out, (r["chunk"], first, gaps, wide, None, None), strict=True):
                     out[k].append(v)
+        give_back()
         return pa.Table.from_pydict(out, schema=ANSWER)
 
     return messages.groupBy("cell").applyInArrow(judge, ANSWER_DDL)
@@ -257,7 +260,7 @@ def cut(texts: pa.Array, removed: pa.Array, window: int, joined: bool) -> dict:
     """n_words, n_removed, and what is kept: all kept words joined by a blank, or the text without the removed words (and the blanks before them)."""
     words = Texts(texts).words(SPACED)
     sizes = np.diff(removed.offsets.to_numpy())
-    starts = removed.flatten().to_numpy().astype(np.int64) + np.repeat(words.at[:-1], sizes)
+    starts = removed.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.at[:-1], sizes)
     gone = covered(starts, window, len(words.start))
     raw = words.texts.buf.tobytes()
     kept = []
@@ -276,6 +279,21 @@ def cut(texts: pa.Array, removed: pa.Array, window: int, joined: bool) -> dict:
     return {"n_words": words.n, "n_removed": d[words.at[1:]] - d[words.at[:-1]], "kept": kept}
 
 
+def cut_udf(schema: str, window: int, joined: bool, finish: Callable[[list[bytes]], pa.Array]):
+    """A column function of (packed text, removed): n_words, n_removed, and ``finish`` of what is kept. Texts are unpacked some at a time."""
+
+    @F.arrow_udf(schema)
+    def run(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        parts = []
+        for part in groups(pa.RecordBatch.from_arrays([texts, removed], ["packed", "removed"]), "packed"):
+            got = cut(unpacked(part.column("packed")), part.column("removed"), window, joined)
+            parts.append(pa.StructArray.from_arrays([pa.array(got["n_words"], pa.int64()), pa.array(got["n_removed"], pa.int64()), finish(got["kept"])], [c.split()[0] for c in schema.split(", ")]))
+        give_back()
+        return pa.concat_arrays(parts)
+
+    return run
+
+
 def with_repeats(docs: DataFrame, window: int, block: int, id_column: str, text_column: str) -> DataFrame:
     """docs with ``__packed_text`` in place of the text, and ``__removed``."""
     found = find_repeats(docs, window, block, id_column, text_column).withColumnsRenamed({"doc_id": "__key_id", "text_hash": "__key_hash", "removed": "__removed"})
@@ -293,11 +311,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column
     """
     own = docs.drop("repeats")
 
-    @F.arrow_udf("n_words long, n_removed long, kept string")
-    def run(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        got = cut(unpacked(texts), removed, window, False)
-        return pa.StructArray.from_arrays([pa.array(got["n_words"], pa.int64()), pa.array(got["n_removed"], pa.int64()), pa.array(got["kept"], pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
-
+    run = cut_udf("n_words long, n_removed long, kept string", window, False, lambda kept: pa.array(kept, pa.binary()).cast(pa.string()))
     out = with_repeats(own, window, block, id_column, text_column).withColumn("__cut", run("__packed_text", "__removed"))
     out = out.withColumn(text_column, F.when(F.col("__packed_text").isNotNull(), F.col("__cut.kept"))).withColumn("repeats", F.struct("__cut.n_words", "__cut.n_removed"))
     return out.select(*own.columns, "repeats")
@@ -306,13 +320,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column
 def op6_repeats(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    @F.arrow_udf("n_words long, n_removed long, kept_sha256 string")
-    def digest(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        got = cut(unpacked(texts), removed, 20, True)
-        return pa.StructArray.from_arrays(
-            [pa.array(got["n_words"], pa.int64()), pa.array(got["n_removed"], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in got["kept"]])], ["n_words", "n_removed", "kept_sha256"]
-        )
-
+    digest = cut_udf("n_words long, n_removed long, kept_sha256 string", 20, True, lambda kept: pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()))
     return with_repeats(docs, 20, 10, "doc_id", "text").select("doc_id", digest("__packed_text", "__removed").alias("d")).select("doc_id", "d.*")
 
 

@@ -7,6 +7,8 @@ Hashes are polynomials over the 64-bit ring with random byte values, finished by
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Texts are handled in groups of about this many bytes, so that temporaries stay small.
 GROUP_BYTES = 400_000
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -178,6 +181,13 @@ def groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first)
 
 
+def give_back() -> None:
+    """Hands memory that is free in this worker back to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def map_texts(df, fn, schema: str, column: str = "text"):
     """df.mapInArrow of fn, which takes a slice of a batch and gives a dict of columns (or None)."""
     from pyspark.sql.types import StructType
@@ -191,6 +201,7 @@ def map_texts(df, fn, schema: str, column: str = "text"):
                 got = fn(part)
                 if got is not None and len(next(iter(got.values()))):
                     yield pa.RecordBatch.from_arrays([got[f.name].cast(f.type) if isinstance(got[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(got[f.name], f.type) for f in arrow], schema=arrow)
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -250,6 +261,8 @@ def text_udf(fn, schema: str):
         for part in groups(pa.RecordBatch.from_arrays([texts], ["text"]), "text"):
             got = fn(part.column(0))
             parts.append(pa.StructArray.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in fields], fields=fields))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+        out = pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+        give_back()
+        return out
 
     return run
