@@ -10,6 +10,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
 
 import tessella.plans.basics  # noqa: E402
+import tessella.plans.micro  # noqa: E402
 import tessella.plans.scalar  # noqa: E402
 import tessella.plans.ssb  # noqa: E402
 import tessella.plans.tpch  # noqa: E402, F401
