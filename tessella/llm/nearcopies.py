@@ -27,7 +27,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Rows in a band and bands: a pair of similarity 0.8 shares no band with a probability of 2e-5.
 ROWS, BANDS = 6, 36
 #: Documents of one group of candidates that are compared in one task; larger groups are compared block by block.
-BLOCK = 8192
+BLOCK = 2048
 #: Documents whose signatures are worked out at once: each takes some thousand points.
 AT_ONCE = 128
 
