@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.textkit import Texts, give_back, groups, text_udf
+from tessella.llm.workers import ready
 
 #: Symbols that are told apart (the most frequent ones; others share the last code), labelled texts learned from for each language at most, and languages.
 ALPHABET, BITS, MAX_TEXTS, MAX_LANGUAGES = 64, 6, 3000, 128
@@ -127,6 +128,7 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
 
 def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Model | None:
     """The model of up to about ``max_texts`` texts of each language (those with the smallest id hashes): docs has doc_id, text, lang (not null)."""
+    ready()
     per = docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(per) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")

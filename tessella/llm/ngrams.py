@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.textkit import SPACED, U64, Texts, give_back, groups, mix, whole
+from tessella.llm.workers import ready
 
 #: Buckets of the model, and labelled rows that the target is fitted on at most: both bound what is collected and broadcast.
 BUCKETS, MAX_LABELS = 1 << 16, 200_000
@@ -90,6 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS, id_column:
 
     Without any trusted text all ratios are 0. Null texts hold no n-grams.
     """
+    ready()
     trusted = docs.sparkSession.sparkContext.broadcast(target_ids(labels, limit))
 
     def count(batches):

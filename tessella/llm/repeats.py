@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
 from tessella.llm.textkit import SPACED, U64, Texts, Words, covered, give_back, groups, lists, runs, whole, windows
+from tessella.llm.workers import ready
 
 #: Bytes of text in a chunk, and entries that a cell of the hash space has about.
 CHUNK_BYTES, CELL = 4 << 20, 1 << 20
@@ -35,6 +36,7 @@ NO_ID = -(2**63)
 
 def packed(text: Column) -> Column:
     """Texts as zstd frames, for a shuffle."""
+    ready()
 
     @F.arrow_udf("binary")
     def pack(texts: pa.Array) -> pa.Array:

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessella.llm.workers import ready
+
 U64 = np.uint64
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Texts are handled in groups of about this many bytes, so that temporaries stay small.
@@ -193,6 +195,7 @@ def map_texts(df, fn, schema: str, column: str = "text"):
     from pyspark.sql.types import StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ready()
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -251,6 +254,7 @@ def text_udf(fn, schema: str):
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ready()
     kind = StructType.fromDDL(schema)
     fields = list(to_arrow_schema(kind))
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.workers import ready
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -81,6 +83,7 @@ def bloom(keys: DataFrame, key: str, n: int) -> np.ndarray:
 
 def may_hold(spark, table: np.ndarray, key: str) -> Column:
     """Whether the key of a row may be among those of the filter."""
+    ready()
     held = spark.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
