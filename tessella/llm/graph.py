@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
 
+#: Rows that a task writes about: small graphs take few tasks, however many partitions a shuffle has.
+ROWS = 500_000
+
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for all ends of the edges (u, v) but those that are the smallest of their component, which names it.
@@ -21,12 +24,13 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
+        tasks = max(1, -(-now[0] // ROWS))
         # large star: the larger neighbours of u go to the least of u and all its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), name)
         larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        edges = written(larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        edges = written(larger.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), name)
         # small star: u and its smaller neighbours go to the least of these
-        least = written(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+        least = written(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), name)
         moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), name)
+        edges = written(least.select("u", F.col("m").alias("v")).unionByName(moved).distinct().coalesce(tasks), name)
