@@ -42,20 +42,26 @@ def supplier(t: Tables) -> DataFrame:
     return place(t, t.supplier, "s_suppkey", "s_nationkey", "s")
 
 
-def lineorder(t: Tables) -> DataFrame:
+def lineorder(t: Tables, *dimensions: tuple[DataFrame, str, str]) -> DataFrame:
+    """Line items with their orders' customer and date. Dimensions of the line item are joined before its order: they are small, and selective."""
     day = F.col("o_orderdate")
-    return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").alias("lo_custkey"),
+    lines = t.lineitem.select(
+        "l_orderkey",
         F.col("l_partkey").alias("lo_partkey"),
         F.col("l_suppkey").alias("lo_suppkey"),
         F.col("l_quantity").alias("lo_quantity"),
         F.round(F.col("l_discount") * 100).cast("int").alias("lo_discount"),
         F.col("l_extendedprice").alias("lo_extendedprice"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("lo_revenue"),
+    )
+    orders = t.orders.select(
+        "o_orderkey",
+        F.col("o_custkey").alias("lo_custkey"),
         F.year(day).cast("long").alias("d_year"),
         (F.year(day) * 100 + F.month(day)).cast("long").alias("d_yearmonthnum"),
         (F.floor((F.dayofyear(day) - 1) / 7) + 1).cast("long").alias("d_weeknuminyear"),
     )
+    return R.star_join(lines, *dimensions).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 STAR = """WITH lo AS (SELECT o_custkey AS lo_custkey, l_partkey AS lo_partkey, l_suppkey AS lo_suppkey, l_quantity AS lo_quantity, CAST(round(l_discount * 100) AS INTEGER) AS lo_discount, l_extendedprice AS lo_extendedprice, l_extendedprice * (1 - l_discount) AS lo_revenue,
@@ -92,7 +98,8 @@ def _star(keys, where, order, profit=False, use="pcs"):
     def build(spark, d):
         t = Tables(spark, d)
         dims = {"p": (part, "lo_partkey", "d_partkey"), "c": (customer, "lo_custkey", "c_key"), "s": (supplier, "lo_suppkey", "s_key")}
-        joined = R.star_join(lineorder(t), *[(dims[x][0](t), *dims[x][1:]) for x in use])
+        sides = {x: (dims[x][0](t), *dims[x][1:]) for x in use}
+        joined = R.star_join(lineorder(t, *[sides[x] for x in use if x != "c"]), *[sides[x] for x in use if x == "c"])
         for w in where:
             joined = joined.where(w)
         out = R.aggregate(joined, keys, [F.round(F.sum(F.expr(value)), 2).alias(name)])
