@@ -15,6 +15,8 @@ from tessella.llm.textkit import _BYTE_BASE, SPACED, Texts, byte_values, covered
 MARGIN = 20.0
 #: Mean log ratio per n-gram that a document must reach.
 THRESHOLD = -0.5
+#: Log odds of averse words within a window (see ngrams) from which on a document is ruled out.
+AVERSION = 5.0
 
 
 def gumbel(seed: int, *key: Column) -> Column:
@@ -23,17 +25,17 @@ def gumbel(seed: int, *key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def weigh(docs: DataFrame, ratio: ngrams.Ratio, seed: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with a struct column ``weight``: n_grams, log_weight, and key = log_weight + Gumbel noise."""
+def weigh(docs: DataFrame, ratio: ngrams.Ratio, seed: int, aversion: float = AVERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with a struct column ``weight``: n_grams, log_weight, aversion, and key = log_weight + Gumbel noise; minus infinity from ``aversion`` on."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(texts: pa.Array) -> dict:
         n, total = held.value.totals(texts)
-        return {"n_grams": n, "log_weight": total}
+        return {"n_grams": n, "log_weight": total, "aversion": held.value.aversion(texts)}
 
-    scored = docs.drop("weight").withColumn("__score", text_udf(score, "n_grams long, log_weight double")(F.col(text_column)))
-    key = F.col("__score.log_weight") + gumbel(seed, F.col(id_column), F.xxhash64(text_column))
-    return scored.withColumn("weight", F.struct("__score.n_grams", "__score.log_weight", key.alias("key"))).drop("__score")
+    scored = docs.drop("weight").withColumn("__score", text_udf(score, "n_grams long, log_weight double, aversion double")(F.col(text_column)))
+    key = F.when(F.col("__score.aversion") >= aversion, float("-inf")).otherwise(F.col("__score.log_weight") + gumbel(seed, F.col(id_column), F.xxhash64(text_column)))
+    return scored.withColumn("weight", F.struct("__score.n_grams", "__score.log_weight", "__score.aversion", key.alias("key"))).drop("__score")
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: int = 4096) -> float:
@@ -64,18 +66,20 @@ def resample(
     max_labels: int = ngrams.MAX_LABELS,
     id_column: str = "doc_id",
     text_column: str = "text",
+    aversion: float = AVERSION,
 ) -> DataFrame:
-    """docs with a struct column ``weight`` (n_grams, log_weight, key, kept): importance resampling without replacement.
+    """docs with a struct column ``weight`` (n_grams, log_weight, aversion, key, kept): importance resampling without replacement.
 
     The weight of a document is P(text | target) / P(text | raw) under hashed n-gram multinomials. Kept are the k
     documents with the largest log weight plus Gumbel noise, which is a draw of k without replacement in
     proportion to the weights. Left out, k is the number of documents whose log weight is above -margin, that is,
-    which the target doesn't rule out. Rows with keys equal to the k-th stand or fall together, so repeated rows
+    which the target doesn't rule out. A document with a window of 64 words whose averse words reach ``aversion`` is
+    ruled out whatever the rest of it says: its key is minus infinity, and it is never kept nor counted. Rows with keys equal to the k-th stand or fall together, so repeated rows
     share a fate. Other columns pass through, one named ``weight`` is replaced. A null or empty text has weight 1 (log 0). Null ids are ids like any other. An empty table gives
     an empty result; without trusted labels all weights are 1 and, for k left out, all rows stay.
     """
-    weighed = weigh(docs, ngrams.fit(docs, labels, max_labels, id_column, text_column), seed, id_column, text_column)
-    keys = written(weighed.select("weight.log_weight", "weight.key"), "weights")
+    weighed = weigh(docs, ngrams.fit(docs, labels, max_labels, id_column, text_column), seed, aversion, id_column, text_column)
+    keys = written(weighed.select("weight.log_weight", "weight.key"), "weights").where(F.col("key") > float("-inf"))
     n, fit = keys.agg(F.count("*"), F.count_if(F.col("log_weight") > -margin)).first()
     k = fit if k is None else min(k, n)
     least = kth_largest(keys, "key", k) if k else float("inf")
@@ -140,12 +144,12 @@ def measure(texts: pa.Array, window: int = 8) -> dict:
     }
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labels: int = ngrams.MAX_LABELS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with a struct column ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, mean_ratio, kept.
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labels: int = ngrams.MAX_LABELS, id_column: str = "doc_id", text_column: str = "text", aversion: float = AVERSION) -> DataFrame:
+    """docs with a struct column ``rules``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, mean_ratio, aversion.
 
     A document fails the base rules if it has under 20 words, or if over 30 % of its words are in windows of 8
     words that it holds twice. Others are kept if the mean log ratio of their n-grams under the trusted target
-    and the raw corpus reaches the threshold. A null text has no words, so it fails. Repeated rows get the same
+    and the raw corpus reaches the threshold, and if no window of 64 words has averse words of ``aversion`` or more. A null text has no words, so it fails. Repeated rows get the same
     verdict; null ids can't be labelled; other columns pass through, one named ``rules`` is replaced; an empty
     table gives no rows; without trusted labels all ratios are 0.
     """
@@ -153,12 +157,12 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
 
     def score(texts: pa.Array) -> dict:
         n, total = held.value.totals(texts)
-        return measure(texts) | {"mean_ratio": total / np.maximum(n, 1)}
+        return measure(texts) | {"mean_ratio": total / np.maximum(n, 1), "aversion": held.value.aversion(texts)}
 
-    scored = docs.drop("rules").withColumn("rules", text_udf(score, f"{RULES}, mean_ratio double")(F.col(text_column)))
+    scored = docs.drop("rules").withColumn("rules", text_udf(score, f"{RULES}, mean_ratio double, aversion double")(F.col(text_column)))
     failed = (F.col("rules.n_words") < 20) | (100 * F.col("rules.n_repeat_words") > 30 * F.col("rules.n_words"))
     base = [F.col(f"rules.{x.split()[0]}") for x in RULES.split(", ")]
-    return scored.withColumn("rules", F.struct(*base, failed.alias("base_failed"), (~failed & (F.col("rules.mean_ratio") >= threshold)).alias("kept"), F.col("rules.mean_ratio")))
+    return scored.withColumn("rules", F.struct(*base, failed.alias("base_failed"), (~failed & (F.col("rules.mean_ratio") >= threshold) & (F.col("rules.aversion") < aversion)).alias("kept"), F.col("rules.mean_ratio"), F.col("rules.aversion")))
 
 
 def op2_rules(spark, sf_dir: str) -> DataFrame:

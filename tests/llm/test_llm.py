@@ -179,6 +179,31 @@ def test_rules_verdicts(real, labels):
     assert np.mean(good) > 0.98 and (not bad or np.mean(bad) < 0.1)
 
 
+def test_held_out_toxic_documents_go(spark):
+    """Labels with odd ids aren't seen; documents that they call toxic go, clean ones stay, and so does no long text with a few insults."""
+    folder = "/root/testdata/sf0.01"
+    docs, all_ = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    known = {r.doc_id: (r.quality, r.toxic) for r in all_.collect()}
+    text = {r.doc_id: r.text for r in docs.collect()}
+    clean = [text[k] for k, v in sorted(known.items()) if v == (1, 0) and k % 2 and k in text]
+    long = " ".join(clean[:40]) + " idiot moron stupid trash loser scum clown pathetic worthless disgusting " + " ".join(clean[40:80])
+    docs = docs.unionByName(spark.createDataFrame([(10**9 + 1, long)], "doc_id long, text string"))
+    seen = all_.where("doc_id % 2 = 0")
+    for out in (quality.resample(docs, seen).select("doc_id", "weight.*"), quality.judge(docs, seen).select("doc_id", "rules.*").where("NOT base_failed")):
+        got = by_id(out, "kept", "aversion")
+        toxic, good = ([got[k] for k, v in known.items() if v == want and k % 2 and k in got] for want in ((1, 1), (1, 0)))
+        assert np.mean([v[0] for v in toxic]) < 0.5 and np.mean([v[1] < quality.AVERSION for v in good]) > 0.98 and not got[10**9 + 1][0]
+    assert np.mean([v[0] for v in good]) > 0.98
+
+
+def test_aversion_is_the_largest_window():
+    h = lambda w: int(ngrams.held_words(pa.array([w]))[0][0])
+    words_ = {h("bad"): 2.0, h("vile"): 3.0}
+    ratio = ngrams.Ratio(np.zeros(ngrams.BUCKETS), ngrams.Lookup(np.array(list(words_), np.uint64)), np.array([words_[k] for k in sorted(words_)]))
+    near, far = "x " * 62, "x " * 63
+    assert ratio.aversion(pa.array(["Bad, " + near + "vile!", "bad " + far + "vile", None, "", "bad", "x", "bad bad"])).tolist() == [5.0, 3.0, 0.0, 0.0, 2.0, 0.0, 4.0]
+
+
 def test_quality_on_hard_input(spark, hard, labels):
     out = quality.resample(hard, labels)
     assert out.count() == hard.count() and "score" in out.columns and out.where("score <> 'mine'").count() == 0
