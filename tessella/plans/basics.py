@@ -245,6 +245,17 @@ def order_by_expressions(spark, d):
     return R.order_by(t, F.col("l_suppkey").asc(), (F.col("l_orderkey") - F.col("l_linenumber")).desc(), "l_orderkey", "l_linenumber")
 
 
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal ASC NULLS FIRST, c_custkey ASC")
+def order_by_whole(spark, d):
+    return R.order_by(Tables(spark, d).customer.select("c_custkey", "c_acctbal"), F.col("c_acctbal").asc_nulls_first(), F.col("c_custkey").asc())
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem ORDER BY l_suppkey ASC, l_orderkey - l_linenumber DESC, l_orderkey, l_linenumber")
+def order_by_expressions_whole(spark, d):
+    t = Tables(spark, d).lineitem.select("l_orderkey", "l_linenumber", "l_suppkey")
+    return R.order_by(t, F.col("l_suppkey").asc(), (F.col("l_orderkey") - F.col("l_linenumber")).desc(), "l_orderkey", "l_linenumber")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 10")
 def top_k_offset(spark, d):
     return R.top_k(Tables(spark, d).orders.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 25, 10)
