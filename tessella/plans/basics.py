@@ -201,6 +201,23 @@ for _how in ("left", "right", "full"):
     )(_outer(_how))
 
 
+def _outer_whole(how):
+    def build(spark, d):
+        t = Tables(spark, d)
+        left = t.customer.where("c_acctbal > 0").select("c_custkey")
+        right = t.orders.where("o_totalprice > 400000").select("o_orderkey", "o_custkey")
+        return R.hash_join(left, right, F.col("c_custkey") == F.col("o_custkey"), how)
+
+    return build
+
+
+for _how in ("left", "right", "full"):
+    query(
+        f"SELECT c_custkey, o_orderkey, o_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) {_how} JOIN (SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 400000) ON c_custkey = o_custkey",
+        f"hash_join_{_how}_outer_whole",
+    )(_outer_whole(_how))
+
+
 @query(
     """SELECT count(*) AS n, CAST(sum(a.l_linenumber) AS BIGINT) AS s FROM lineitem a JOIN lineitem b
   ON a.l_orderkey = b.l_orderkey AND a.l_suppkey = b.l_suppkey AND a.l_quantity < b.l_quantity"""
@@ -384,6 +401,13 @@ def gather_by_key(spark, d):
     return R.hash_join(t.lineitem.where("l_quantity > 49"), t.orders.where("o_custkey % 2 = 0"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
 
 
+@query("SELECT a.l_orderkey, a.l_linenumber, b.o_custkey FROM lineitem a JOIN orders b ON a.l_orderkey = b.o_orderkey WHERE a.l_quantity > 49 AND b.o_totalprice > 200000")
+def gather_by_key_whole(spark, d):
+    """Values looked up by key among all keys, and only where they meet a predicate on values."""
+    t = Tables(spark, d)
+    return R.hash_join(t.lineitem.where("l_quantity > 49"), t.orders.where("o_totalprice > 200000"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
 @query("SELECT e1.event_type, count(*) AS n FROM events e1 GROUP BY e1.event_type HAVING avg(value) > (SELECT avg(value) * 0.5 FROM events)")
 def scalar_subquery(spark, d):
     t = Tables(spark, d).events

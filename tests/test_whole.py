@@ -19,3 +19,13 @@ def test_whole_table_is_sorted(spark, name, table, key):
     got = QUERIES[name](spark, DATA).collect()
     assert len(got) == spark.read.parquet(f"{DATA}/{table}.parquet").count()
     assert [key(r) for r in got] == sorted(key(r) for r in got)
+
+
+def test_outer_joins_use_all_ids(spark):
+    left, right, full = ({tuple(r) for r in QUERIES[f"hash_join_{how}_outer_whole"](spark, DATA).collect()} for how in ("left", "right", "full"))
+    assert {c % 3 for c, o, _ in left if o is not None} == {0, 1, 2}
+    assert any(o is None for _, o, _ in left) and any(c is None for c, _, _ in right) and full == left | right
+
+
+def test_gather_uses_all_ids(spark):
+    assert {r.o_custkey % 2 for r in QUERIES["gather_by_key_whole"](spark, DATA).collect()} == {0, 1}
