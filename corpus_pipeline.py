@@ -25,14 +25,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that with the smallest id. Of rows that share an id one stays."""
-    docs = docs.select(*COLUMNS)
-    gone = near_duplicates(docs).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """One document of each class of near-duplicates: that with the smallest id. Of equal rows of an id and a text one stays; different texts under one id are documents of their own."""
+    docs, key = docs.select(*COLUMNS), "doc_id"
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if again.limit(1).count():
-        left = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*COLUMNS)
+        # keys of an id and a text, in the order of ids; written, so that rows come in the same order on each run
+        key, docs = "key", docs.withColumn("hash", F.coalesce(F.sha2("text", 256), F.lit("")))
+        keys = docs.where("doc_id IS NOT NULL").select("doc_id", "hash").distinct().orderBy("doc_id", "hash").withColumn("key", F.monotonically_increasing_id())
+        keyed = docs.join(written(keys, "keys"), ["doc_id", "hash"], "left")
+        docs = written(keyed.where("key IS NULL").unionByName(keyed.where("key IS NOT NULL").dropDuplicates(["key"])).select(*COLUMNS, "key"), "keyed")
+    gone = near_duplicates(docs, id_column=key).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone.hint("merge"), key, "left_anti").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

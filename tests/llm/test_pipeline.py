@@ -68,6 +68,15 @@ def test_run(spark):
     assert out.count() > 50 and out.where("copies < 1").count() == 0
 
 
+def test_near_copies_keeps_texts_that_share_an_id(spark):
+    x, y, z, v, w = (" ".join(f"{c}{i * 7 % 101}" for i in range(100)) for c in "xyzvw")
+    near = w + " more"
+    rows = [(3, x), (5, x), (5, y), (8, z), (8, z), (2, w), (9, near), (9, v), (7, None), (7, ""), (None, y)]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], SCHEMA)
+    got = corpus_pipeline.near_copies(spark, docs, DATA).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(3, x), (5, y), (8, z), (2, w), (9, v), (7, None), (7, ""), (None, y)], key=repr)
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stage_on_hard_input(spark, hard, k):  # noqa: F811
     name, stage = corpus_pipeline.STAGES[k]
