@@ -74,3 +74,10 @@ def micro_join_build(spark, d):
     """A join whose build side is as large as its probe side."""
     a, b = rows(spark, JOIN_ROWS, k=1 << 21), rows(spark, JOIN_ROWS, k=1 << 21).select(F.col("k").alias("b_k"))
     return R.aggregate(R.hash_join(a.where("k < 1000"), b, F.col("i") == F.col("b_k")), ["k"], [F.count("*").alias("n")])
+
+
+@query(f"SELECT count(*) AS n, CAST(sum(a.k) AS BIGINT) AS s FROM {rows_sql(JOIN_ROWS, k=1 << 21)} a JOIN {rows_sql(JOIN_ROWS, k=1 << 21)} b ON a.i = b.k")
+def micro_join_build_whole(spark, d):
+    """A join of two sides of the same size, neither of them cut before."""
+    a, b = rows(spark, JOIN_ROWS, k=1 << 21), rows(spark, JOIN_ROWS, k=1 << 21).select(F.col("k").alias("b_k"))
+    return R.aggregate(R.hash_join(a, b, F.col("i") == F.col("b_k")), [], [F.count("*").alias("n"), F.sum("k").alias("s")])

@@ -1,8 +1,10 @@
 """Queries over whole tables: no row is left out before the operator."""
 
+import numpy as np
 import pytest
 
 import tessella.plans.basics  # noqa: F401
+from tessella.plans import micro
 from tessella.plans.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -29,3 +31,10 @@ def test_outer_joins_use_all_ids(spark):
 
 def test_gather_uses_all_ids(spark):
     assert {r.o_custkey % 2 for r in QUERIES["gather_by_key_whole"](spark, DATA).collect()} == {0, 1}
+
+
+def test_join_build_uses_all_rows(spark):
+    i = np.arange(micro.JOIN_ROWS, dtype=np.int64)
+    k = i * micro.STEP % 2147483647 % (1 << 21)
+    met = k[k < micro.JOIN_ROWS]
+    assert [tuple(r) for r in QUERIES["micro_join_build_whole"](spark, DATA).collect()] == [(len(met), int(k[met].sum()))]
