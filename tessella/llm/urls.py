@@ -129,13 +129,14 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RUL
     )
 
 
-#: Labels of hosts whose pages make the list of the query.
+#: Labels of hosts whose pages make the list of the query where none is given: a stand-in drawn from the pages themselves.
 BAD_HOSTS = ("adult-x", "spam-farm", "cheap-pills", "ads-track", "casino-win", "free-bets")
 
 
-def op4_urls(spark, sf_dir: str) -> DataFrame:
+def op4_urls(spark, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(BAD_HOSTS)})\.")).select("url")
+    if listed is None:
+        listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(BAD_HOSTS)})\.")).select("url")
     return filter_urls(pages, listed)
 
 

@@ -317,6 +317,14 @@ def test_urls_against_brute_force(spark):
     assert urls.filter_urls(pages, empty, rules=()).where("verdict <> 'allow' OR rule IS NOT NULL").count() == 0
 
 
+def test_url_list_can_be_given(spark):
+    undecided = urls.op4_urls(spark, DATA).where("rule IS NULL AND NOT listed AND canonical <> ''").first()
+    listed = spark.createDataFrame([("https://www." + undecided.canonical + "/",)], "url string")
+    out = urls.op4_urls(spark, DATA, listed)
+    hit = {r.canonical for r in out.where("listed").collect()}
+    assert hit == {undecided.canonical} and out.where("listed AND verdict <> 'block'").count() == 0
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"))
     table = urls.bloom(keys, "k", 5000)
