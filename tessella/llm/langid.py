@@ -1,9 +1,10 @@
 """Language identification by partial matching: per-language byte context trees of order 3, with frozen counts.
 
-Text is coded byte by byte after folding: letters in lower case, every run of other ASCII as one blank. A byte
-costs -log2 of its share in the longest context that was seen; where it wasn't seen there, an escape is paid and
-the next shorter context is asked (method C: distinct / (total + distinct)), down to a uniform code. All costs are
-worked out once, so that scoring is a table lookup for each byte.
+Text is coded byte by byte after folding: ASCII letters in lower case, every run of other ASCII as one blank, all
+other bytes as they are. A byte costs -log2 of its share in the longest context that was seen; where it wasn't seen
+there, an escape is paid and the next shorter context is asked (method C: distinct / (total + distinct)), down to a
+uniform code of eight bits. The trees are kept as tables of the contexts that were seen, order by order, with all
+costs worked out, so that most bytes take one lookup for some languages at once.
 """
 
 from __future__ import annotations
@@ -12,133 +13,198 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.textkit import Texts, give_back, groups, text_udf
+from tessella.llm.textkit import PIECE, Texts, give_back, groups, text_udf
 from tessella.llm.workers import ready
 
-#: Symbols that are told apart (the most frequent ones; others share the last code), labelled texts learned from for each language at most, and languages.
-ALPHABET, BITS, MAX_TEXTS, MAX_LANGUAGES = 64, 6, 3000, 128
+#: Labelled texts learned from for each language at most; bytes that the model may have in a worker, which bound the contexts of each language.
+MAX_TEXTS, MODEL_BYTES = 3000, 128 << 20
+#: Bits of a symbol, symbols before it that are looked at, and languages that share a table.
+BITS, ORDER, TOGETHER = 8, 3, 4
+#: Bytes that one 4-gram of one language may take, lookup tables and shorter contexts included.
+GRAM_BYTES = 64
+#: Bytes of text that are scored at once.
+SLICE = 1 << 17
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _LETTER = (_FOLD >= 0x61) & (_FOLD <= 0x7A)
+_WIDE = np.arange(256) >= 0x80
 
 
 def folded(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The folded bytes of all texts, and where each text starts and ends in them. Blanks at a text's start are gone, its last one is kept."""
+    if not texts.n:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     b = _FOLD[texts.buf]
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
     keep[texts.start] &= b[texts.start] != 32
-    count = np.zeros(len(b) + 1, np.int64)
-    np.cumsum(keep, out=count[1:])
-    return b[keep], count[np.append(texts.start, len(b))]
-
-
-def fours(codes: np.ndarray, at: np.ndarray, bits: int, blank: int) -> np.ndarray:
-    """Each symbol with the three before it in its text (blanks before the first)."""
-    out = codes.astype(np.uint32)
-    for back in (1, 2, 3):
-        before = np.full(len(codes), blank, np.uint32)
-        before[back:] = codes[:-back] if back < len(codes) else before[back:]
-        for i in range(back):
-            first = at[:-1] + i
-            before[first[first < at[1:]]] = blank
-        out |= before << np.uint32(bits * back)
+    return b[keep], np.concatenate(([0], np.cumsum(np.add.reduceat(keep, texts.start, dtype=np.int64))))
+
+
+def fours(codes: np.ndarray, at: np.ndarray, i: int, j: int) -> np.ndarray:
+    """Each symbol from place i to j, with the three before it in its text (blanks before the first)."""
+    out = codes[i:j].astype(np.uint32)
+    first = at[:-1][at[1:] > at[:-1]]
+    first = first[np.searchsorted(first, i - ORDER) : np.searchsorted(first, j)]
+    for back in range(1, ORDER + 1):
+        before = np.full(j - i, 32, np.uint32)
+        from_ = max(i, back)
+        before[from_ - i :] = codes[from_ - back : max(0, j - back)] if j > from_ else before[from_ - i :]
+        for d in range(back):
+            place = first + d
+            end = at[np.searchsorted(at, first, side="right")] if len(first) else first
+            place = place[(place >= i) & (place < j) & (place < end)]
+            before[place - i] = 32
+        out |= before << np.uint32(BITS * back)
     return out
 
 
+class Index:
+    """Where keys are among some sorted ones: open addressing, tables of twice to four times their number."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint32(32 - bits), (1 << bits) - 1
+        self.key, self.row = np.zeros(1 << bits, np.uint32), np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self.slots(keys)
+        while len(todo):
+            free = self.row[slot] < 0
+            _, first = np.unique(slot[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.row[slot[won]], self.key[slot[won]] = todo[won], keys[todo[won]]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, slot = todo[left], (slot[left] + 1) & self.mask
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(0x9E3779B1)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        slot = self.slots(keys)
+        out = self.row[slot]
+        todo = np.flatnonzero((self.key[slot] != keys) & (out >= 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & self.mask
+            out[todo] = row = self.row[slot]
+            more = (row >= 0) & (self.key[slot] != keys[todo])
+            todo, slot = todo[more], slot[more]
+        return out
+
+
 @dataclass
-class Model:
-    """Costs in bits of order-3 contexts for each language, resolved down to order 0."""
+class Tree:
+    """For one order and some languages: the costs in bits of the grams that any of them holds, and the escapes of their contexts."""
 
-    languages: list[str]
-    code: np.ndarray
-    keys: np.ndarray
+    grams: np.ndarray
     cost: np.ndarray
+    contexts: np.ndarray
     escape: np.ndarray
-    lower: np.ndarray
-    _table: np.ndarray | None = field(default=None, repr=False)
+    index: Index | None = field(default=None, repr=False)
+    above: Index | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
+        return self.__dict__ | {"index": None, "above": None}
+
+
+def shorter(grams: np.ndarray, order: int) -> np.ndarray:
+    """The grams without their first symbol of order + 1."""
+    return grams & np.uint32((1 << BITS * order) - 1)
+
+
+def costs(trees: list[Tree], order: int, grams: np.ndarray) -> np.ndarray:
+    """Bits of each gram of order + 1 symbols under each language of the trees (by order)."""
+    if order < 0:
+        return np.full((len(grams), 1), BITS, np.float32)
+    tree = trees[order]
+    if tree.index is None:
+        tree.index, tree.above = Index(tree.grams), Index(tree.contexts)
+    row = tree.index.find(grams)
+    out = tree.cost[row]
+    missed = np.flatnonzero(row < 0)
+    if len(missed):
+        context = tree.above.find(grams[missed] >> np.uint32(BITS))
+        paid = tree.escape[context]
+        paid[context < 0] = 0
+        out[missed] = paid + costs(trees, order - 1, shorter(grams[missed], order))
+    return out
+
+
+@dataclass
+class Model:
+    """The languages by name, and their trees by order, some languages at a time."""
+
+    languages: list[str]
+    blocks: list[list[Tree]]
 
     def bits(self, texts: Texts) -> np.ndarray:
         """Code length of each text under each language."""
-        if self._table is None:
-            self._table = np.full(1 << (4 * BITS), -1, np.int32)
-            self._table[self.keys] = np.arange(len(self.keys), dtype=np.int32)
-        b, at = folded(texts)
+        codes, at = folded(texts)
         out = np.zeros((texts.n, len(self.languages)))
-        if len(b):
-            key = fours(self.code[b], at, BITS, int(self.code[32]))
-            row = self._table[key]
-            costs = self.cost[row]
-            missed = np.flatnonzero(row < 0)
-            costs[missed] = self.escape[key[missed] >> BITS] + self.lower[key[missed] & ((1 << 3 * BITS) - 1)]
-            some = at[1:] > at[:-1]
-            out[some] = np.add.reduceat(costs, at[:-1][some], axis=0, dtype=np.float64)
+        for i in range(0, len(codes), SLICE):
+            j = min(i + SLICE, len(codes))
+            grams = fours(codes, at, i, j)
+            a, b = np.searchsorted(at, i, side="right") - 1, np.searchsorted(at, j)
+            some = a + np.flatnonzero(np.minimum(at[a + 1 : b + 1], j) > np.maximum(at[a:b], i))
+            start = np.maximum(at[some], i) - i
+            column = 0
+            for trees in self.blocks:
+                held = costs(trees, ORDER, grams)
+                out[some, column : column + held.shape[1]] += np.add.reduceat(held, start, axis=0, dtype=np.float64)
+                column += held.shape[1]
         return out
 
 
-def totals(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((size, counts.shape[1]))
-    np.add.at(out, keys, counts)
-    return out
-
-
-def resolve(grams: np.ndarray, contexts: np.ndarray, shorter: np.ndarray, count: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of grams given their contexts (counts, totals and distinct symbols), with ``shorter`` for what is escaped to; and the contexts' escapes."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
-        seen = -np.log2(count / (total + distinct)[contexts])
-    return np.where(count > 0, seen, escape[contexts] + shorter), escape
+def plant(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, languages: int) -> list[Tree]:
+    """The trees, by order, of counted 4-grams of some languages (numbered from 0)."""
+    trees: list[Tree] = []
+    gram = gram.astype(np.uint32)
+    for order in range(ORDER + 1):
+        keys, at = np.unique(shorter(gram, order + 1) if order < ORDER else gram, return_inverse=True)
+        count = np.zeros((len(keys), languages))
+        np.add.at(count, (at, lang), n)
+        contexts, of = np.unique(keys >> np.uint32(BITS), return_inverse=True)
+        total, distinct = np.zeros((len(contexts), languages)), np.zeros((len(contexts), languages))
+        np.add.at(total, of, count)
+        np.add.at(distinct, of, count > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            escape = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+            seen = -np.log2(count / (total + distinct)[of])
+        missed = escape[of] + costs(trees, order - 1, shorter(keys, order))
+        trees.append(Tree(keys, np.where(count > 0, seen, missed).astype(np.float32), contexts, escape.astype(np.float32)))
+    return trees
 
 
 def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
     """The model of counted 4-grams of folded bytes."""
-    symbol = np.bincount(gram & 255, weights=n, minlength=256)
-    order = np.argsort(-symbol, kind="stable")
-    code = np.full(256, ALPHABET - 1, np.uint8)
-    code[order[: ALPHABET - 1]] = np.arange(ALPHABET - 1)
-    code[32] = code[32] if symbol[32] else ALPHABET - 1
-    key = np.zeros(len(gram), np.int64)
-    for i in (3, 2, 1, 0):
-        key = (key << BITS) | code[(gram >> (8 * i)) & 255]
-    keys, at = np.unique(key, return_inverse=True)
-    four = np.zeros((len(keys), len(languages)))
-    np.add.at(four, (at, lang), n)
-    shorter = np.full((1, len(languages)), float(BITS))
-    for order_ in (0, 1, 2):
-        size = 1 << (BITS * (order_ + 1))
-        count = totals(keys & (size - 1), four, size)
-        contexts = np.arange(size) >> BITS
-        total, distinct = totals(contexts, count, size >> BITS), totals(contexts, (count > 0).astype(float), size >> BITS)
-        lower = np.arange(size) & ((size >> BITS) - 1)
-        shorter, _ = resolve(np.arange(size), contexts, shorter[lower], count, total, distinct)
-    size = 1 << (3 * BITS)
-    total, distinct = totals(keys >> BITS, four, size), totals(keys >> BITS, (four > 0).astype(float), size)
-    cost, escape = resolve(keys, keys >> BITS, shorter[keys & (size - 1)], four, total, distinct)
-    return Model(languages, code, keys, cost.astype(np.float32), escape.astype(np.float32), shorter.astype(np.float32))
-
-
-def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Model | None:
-    """The model of up to about ``max_texts`` texts of each language (those with the smallest id hashes): docs has doc_id, text, lang (not null)."""
+    blocks = []
+    for i in range(0, len(languages), TOGETHER):
+        mine = (lang >= i) & (lang < i + TOGETHER)
+        blocks.append(plant(lang[mine] - i, gram[mine], n[mine], min(TOGETHER, len(languages) - i)))
+    return Model(languages, blocks)
+
+
+def learn(docs: DataFrame, max_texts: int = MAX_TEXTS, model_bytes: int = MODEL_BYTES) -> Model | None:
+    """The model of up to about ``max_texts`` texts of each language (those with the smallest id hashes): docs has doc_id, text, lang (not null).
+
+    There may be any number of languages: the most frequent 4-grams of each are kept, as many as have room in
+    ``model_bytes``. Null and empty texts teach nothing; repeated rows count as often as they are there; equally
+    frequent grams go by their bytes. Without any text there is no model.
+    """
     ready()
-    per = docs.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(per) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    per = sorted(docs.groupBy("lang").count().collect(), key=lambda r: r["lang"])
     if not per:
         return None
-    languages = sorted(r["lang"] for r in per)
-    share = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], min(1.0, max_texts / r["count"]))])
-    number = F.create_map(*[F.lit(x) for i, l in enumerate(languages) for x in (l, i)])
+    plan = docs.sparkSession.createDataFrame([(r["lang"], i, min(1.0, max_texts / r["count"])) for i, r in enumerate(per)], "lang string, number int, share double")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11).cast("double") / float(1 << 53)
-    sample = docs.where(u < F.element_at(share, F.col("lang"))).select(F.element_at(number, F.col("lang")).alias("lang"), "text")
+    sample = docs.join(F.broadcast(plan), "lang").where(u < F.col("share")).select(F.col("number").alias("lang"), "text")
 
     def count(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -151,26 +217,31 @@ def learn(docs: DataFrame, max_texts: int = MAX_TEXTS) -> Model | None:
         for batch in batches:
             for part in groups(batch, "text"):
                 b, at = folded(Texts(part.column("text")))
-                lang = np.repeat(part.column("lang").to_numpy().astype(np.uint64), np.diff(at))
-                held.append(np.unique(fours(b, at, 8, 32).astype(np.uint64) | lang << np.uint64(32), return_counts=True))
-                if len(held) > 16:
-                    shrink()
+                number = part.column("lang").to_numpy().astype(np.uint64)
+                for i in range(0, len(b), PIECE):
+                    j = min(i + PIECE, len(b))
+                    lang = number[np.searchsorted(at, np.arange(i, j), side="right") - 1]
+                    held.append(np.unique(fours(b, at, i, j).astype(np.uint64) | lang << np.uint64(32), return_counts=True))
+                    if len(held) > 16:
+                        shrink()
             give_back()
         shrink()
         for keys, n in held:
             yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int32)), pa.array((keys & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    got = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
+    grams = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    most = max(1, model_bytes // (GRAM_BYTES * len(per)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    got = grams.withColumn("place", place).where(F.col("place") <= most).select("lang", "gram", "n").toArrow()
     if not got.num_rows:
         return None
-    return build(languages, got["lang"].to_numpy().astype(np.int64), got["gram"].to_numpy(), got["n"].to_numpy().astype(float))
+    return build([r["lang"] for r in per], got["lang"].to_numpy().astype(np.int64), got["gram"].to_numpy(), got["n"].to_numpy().astype(float))
 
 
 def predictions(model: Model | None, texts: pa.Array) -> dict:
     """lang and score of each text."""
     t = Texts(texts)
-    letters = np.diff(np.searchsorted(np.flatnonzero(_LETTER[t.buf]), np.append(t.start, len(t.buf)))) > 0
-    wide = np.diff(np.searchsorted(np.flatnonzero(t.buf >= 0x80), np.append(t.start, len(t.buf)))) > 0
+    letters, wide = t.count(_LETTER) > 0, t.count(_WIDE) > 0
     for i in np.flatnonzero(wide & ~letters):
         letters[i] = any(c.isalpha() for c in texts[int(i)].as_py())
     if model is None:
@@ -188,7 +259,9 @@ def identify(docs: DataFrame, model: Model | None, text_column: str = "text") ->
     """docs with a struct column ``language``: lang, and score, its share of the likelihoods of all languages.
 
     ``und`` with score 0 if the text is null or has no letters, or if there is no model. Of equally likely
-    languages the first by name. Other columns pass through, one named ``language`` is replaced.
+    languages the first by name. Repeated rows get the same answer, null ids one like any other; an empty table gives
+    no rows. Other columns pass through, one named ``language`` is replaced. A very long text is scored piece by
+    piece, by a worker that holds some five times its size.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.drop("language").withColumn("language", text_udf(lambda t: predictions(held.value, t), "lang string, score double")(F.col(text_column)))

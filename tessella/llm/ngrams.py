@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import written
-from tessella.llm.textkit import ALNUM, SPACED, U64, Lookup, Texts, give_back, groups, mix, whole
+from tessella.llm.textkit import ALNUM, SPACED, U64, Lookup, Texts, give_back, groups, mix, span_hashes
 from tessella.llm.workers import ready
 
 #: Buckets of the model, and labelled rows that the target is fitted on at most: both bound what is collected and broadcast.
 BUCKETS, MAX_LABELS = 1 << 16, 200_000
+#: Words whose n-grams are made at once.
+AT_ONCE = 1 << 17
 #: Weight of the raw corpus in a bucket's target estimate, in n-grams.
 PRIOR = 5.0
 #: Averse words: how many at most, the log odds that toxic texts hold one rather than trusted texts, the evidence for it (nats of a likelihood ratio), and the words that are looked at together.
@@ -30,43 +33,43 @@ _CLASS[[ord(c) for c in ".,;:'\"()-"]] = 32
 _CLASS[0x80:] = 128
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, and the text that each belongs to.
+def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of the texts, and the text that each belongs to, for some words at a time.
 
     Words give 1-grams and 2-grams of their hashes, and 1-, 2- and 3-grams of their make: the kinds of
     characters in them and whether the word stood one, two, three or four words before. The second kind is
     what carries over to words never seen.
     """
     words = Texts(texts).words(SPACED)
-    h = words.hashes()
-    n = len(h)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    text_of = words.text_of()
-    kinds = _CLASS[words.buf]
-    ends = np.empty(2 * n, np.int64)
-    ends[0::2], ends[1::2] = words.start, words.end
-    make = np.bitwise_or.reduceat(kinds, ends)[0::2].astype(np.uint64)
-    for back in (4, 3, 2, 1):
-        if n > back:
-            again = np.flatnonzero((h[back:] == h[:-back]) & (text_of[back:] == text_of[:-back])) + back
-            make[again] = (make[again] & U64(255)) | U64(back << 8)
-    out, own = [], []
-
-    def add(values: np.ndarray, salt: int, keep: np.ndarray) -> None:
-        out.append((mix(values + U64(salt)) >> U64(48)).astype(np.int64) & (BUCKETS - 1))
-        own.append(text_of[: len(values)])
-        if not keep.all():
-            out[-1], own[-1] = out[-1][keep], own[-1][keep]
-
-    all_ = np.ones(n, bool)
-    pair, three = whole(words.at, 2, n), whole(words.at, 3, n)
-    add(h, 1, all_)
-    add(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:], 2, pair)
-    add(make, 3, all_)
-    add(make[:-1] * U64(2048) + make[1:], 4, pair)
-    add((make[:-2] * U64(2048) + make[1:-1]) * U64(2048) + make[2:], 5, three)
-    return np.concatenate(out), np.concatenate(own)
+    total = len(words.start)
+    for i in range(0, total, AT_ONCE):
+        j = min(i + AT_ONCE, total)
+        lo, hi = max(0, i - 4), min(total, j + 2)  # what the make of the first and the 3-gram of the last look at
+        start, end = words.start[lo:hi], words.end[lo:hi]
+        h = span_hashes(words.padded, start, end)
+        text_of = np.searchsorted(words.at, np.arange(lo, hi), side="right") - 1
+        ends = np.empty(2 * len(h), np.int64)
+        ends[0::2], ends[1::2] = start - start[0], end - start[0]
+        make = np.bitwise_or.reduceat(_CLASS[words.buf[start[0] : end[-1] + 1]], ends)[0::2].astype(np.uint64)
+        for back in (4, 3, 2, 1):
+            if len(h) > back:
+                again = np.flatnonzero((h[back:] == h[:-back]) & (text_of[back:] == text_of[:-back])) + back
+                make[again] = (make[again] & U64(255)) | U64(back << 8)
+        out, own = [], []
+
+        def add(values: np.ndarray, salt: int, n: int) -> None:
+            """The n-grams from the words i to j that stay within a text."""
+            of = text_of[i - lo : min(j - lo, len(values))]
+            keep = of == text_of[n - 1 :][i - lo : i - lo + len(of)]
+            out.append((mix(values[i - lo : i - lo + len(of)][keep] + U64(salt)) >> U64(48)).astype(np.int64) & (BUCKETS - 1))
+            own.append(of[keep])
+
+        add(h, 1, 1)
+        add(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:], 2, 2)
+        add(make, 3, 1)
+        add(make[:-1] * U64(2048) + make[1:], 4, 2)
+        add((make[:-2] * U64(2048) + make[1:-1]) * U64(2048) + make[2:], 5, 3)
+        yield np.concatenate(out), np.concatenate(own)
 
 
 @dataclass
@@ -79,9 +82,11 @@ class Ratio:
 
     def totals(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For each text its n-grams, and the sum of their log ratios."""
-        bucket, own = features(texts)
-        n = len(texts)
-        return np.bincount(own, minlength=n), np.bincount(own, weights=self.log[bucket], minlength=n)
+        n, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for bucket, own in features(texts):
+            n += np.bincount(own, minlength=len(texts))
+            total += np.bincount(own, weights=self.log[bucket], minlength=len(texts))
+        return n, total
 
     def aversion(self, texts: pa.Array) -> np.ndarray:
         """For each text the largest sum of the log odds of averse words over WINDOW words in a row, however long the text is."""
@@ -154,11 +159,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELS, id_column:
         texts, held, size = np.zeros(2, np.int64), [], 0
         for batch in batches:
             for part in groups(batch, "text"):
-                bucket, own = features(part.column("text"))
                 doc = part.column("doc_id").fill_null(-(2**63)).to_numpy()
                 chosen, bad = np.isin(doc, trusted), np.isin(doc, toxic)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[chosen[own]], minlength=BUCKETS)
+                for bucket, own in features(part.column("text")):
+                    raw += np.bincount(bucket, minlength=BUCKETS)
+                    target += np.bincount(bucket[chosen[own]], minlength=BUCKETS)
                 known = chosen | bad
                 if len(toxic) and known.any():
                     h, of = held_words(part.column("text").filter(pa.array(known)))

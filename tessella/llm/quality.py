@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import ngrams
-from tessella.llm.shared import written
-from tessella.llm.textkit import _BYTE_BASE, SPACED, Texts, byte_values, covered, mix, prefix, span_hash, sums, text_udf, whole, windows
-
-#: The sample is as large as the number of documents whose log weight is above minus this much.
-MARGIN = 20.0
+from tessella.llm.shared import spare, written
+from tessella.llm.textkit import SPACED, Texts, covered, mix, span_hashes, sums, text_udf, whole, windows
+
+#: N-grams of the passage that a document's weight is for: a longer document has the weight of a passage of its kind.
+PASSAGE = 64
+#: Left to itself, a sample is as large as rejection sampling with weights cut off at exp(-MARGIN) would make it.
+MARGIN = 8.0
+#: Share of the rows that the query draws.
+SHARE = 0.75
 #: Mean log ratio per n-gram that a document must reach.
 THRESHOLD = -0.5
 #: Log odds of averse words within a window (see ngrams) from which on a document is ruled out.
@@ -25,17 +29,19 @@ def gumbel(seed: int, *key: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def weigh(docs: DataFrame, ratio: ngrams.Ratio, seed: int, aversion: float = AVERSION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, ratio: ngrams.Ratio, seed: int, aversion: float = AVERSION, id_column: str = "doc_id", text_column: str = "text", passage: int = PASSAGE) -> DataFrame:
     """docs with a struct column ``weight``: n_grams, log_weight, aversion, and key = log_weight + Gumbel noise; minus infinity from ``aversion`` on."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(texts: pa.Array) -> dict:
         n, total = held.value.totals(texts)
-        return {"n_grams": n, "log_weight": total, "aversion": held.value.aversion(texts)}
+        return {"n_grams": n, "log_weight": total * np.minimum(1, passage / np.maximum(n, 1)), "aversion": held.value.aversion(texts)}
 
-    scored = docs.drop("weight").withColumn("__score", text_udf(score, "n_grams long, log_weight double, aversion double")(F.col(text_column)))
-    key = F.when(F.col("__score.aversion") >= aversion, float("-inf")).otherwise(F.col("__score.log_weight") + gumbel(seed, F.col(id_column), F.xxhash64(text_column)))
-    return scored.withColumn("weight", F.struct("__score.n_grams", "__score.log_weight", "__score.aversion", key.alias("key"))).drop("__score")
+    name = spare(docs, "score")
+    scored = docs.drop("weight").withColumn(name, text_udf(score, "n_grams long, log_weight double, aversion double")(F.col(text_column)))
+    got = {c: F.col(f"{name}.{c}") for c in ("n_grams", "log_weight", "aversion")}
+    key = F.when(got["aversion"] >= aversion, float("-inf")).otherwise(got["log_weight"] + gumbel(seed, F.col(id_column), F.xxhash64(text_column)))
+    return scored.withColumn("weight", F.struct(*got.values(), key.alias("key"))).drop(name)
 
 
 def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: int = 4096) -> float:
@@ -57,42 +63,59 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: i
         lo, hi = r["lo"], r["hi"]
 
 
+def draw(weighed: DataFrame, k: int | None = None, share: float | None = None, margin: float = MARGIN) -> DataFrame:
+    """A written table from weigh() with ``kept`` in its column ``weight``: the k rows with the largest keys; see resample()."""
+    n, size = weighed.where("weight.key > double('-inf')").agg(F.count("*"), F.sum(F.exp(F.least(F.col("weight.log_weight") + margin, F.lit(0.0))))).first()
+    k = min(n, round(share * weighed.count() if share is not None else size or 0) if k is None else k)
+    keys = weighed.select("weight.key").where("key > double('-inf')")
+    least = kth_largest(keys, "key", k) if k else float("inf")
+    return weighed.withColumn("weight", F.struct("weight.*", (F.col("weight.key") >= least).alias("kept")))
+
+
 def resample(
     docs: DataFrame,
     labels: DataFrame,
     k: int | None = None,
-    margin: float = MARGIN,
+    share: float | None = None,
     seed: int = 1,
     max_labels: int = ngrams.MAX_LABELS,
     id_column: str = "doc_id",
     text_column: str = "text",
     aversion: float = AVERSION,
+    passage: int = PASSAGE,
+    margin: float = MARGIN,
 ) -> DataFrame:
     """docs with a struct column ``weight`` (n_grams, log_weight, aversion, key, kept): importance resampling without replacement.
 
-    The weight of a document is P(text | target) / P(text | raw) under hashed n-gram multinomials. Kept are the k
-    documents with the largest log weight plus Gumbel noise, which is a draw of k without replacement in
-    proportion to the weights. Left out, k is the number of documents whose log weight is above -margin, that is,
-    which the target doesn't rule out. A document with a window of 64 words whose averse words reach ``aversion`` is
-    ruled out whatever the rest of it says: its key is minus infinity, and it is never kept nor counted. Rows with keys equal to the k-th stand or fall together, so repeated rows
-    share a fate. Other columns pass through, one named ``weight`` is replaced. A null or empty text has weight 1 (log 0). Null ids are ids like any other. An empty table gives
-    an empty result; without trusted labels all weights are 1 and, for k left out, all rows stay.
+    The weight of a document is P(passage | target) / P(passage | raw) under hashed n-gram multinomials, where the
+    passage is the document or, if it has more than ``passage`` n-grams, as many of its kind: weights of whole long
+    texts differ by hundreds of orders of magnitude, so that a draw by them would be a plain threshold. Kept are
+    the k documents with the largest log weight plus Gumbel noise, which is a draw of k without replacement in
+    proportion to the weights. Instead of k a ``share`` of all rows may be given. With neither, k is the sum of
+    min(1, weight * exp(margin)): what rejection sampling with weights cut off at exp(-margin) would keep on average,
+    that is, what the target's model doesn't rule out.
+
+    A document with a window of 64 words whose averse words reach ``aversion`` is ruled out whatever the rest of it
+    says: its key is minus infinity, and it is never kept nor counted. Rows with keys equal to the k-th stand or
+    fall together, so repeated rows share a fate. Other columns pass through, one named ``weight`` is replaced. A
+    null or empty text has weight 1 (log 0). Null ids are ids like any other. An empty table gives an empty result;
+    without trusted labels all weights are 1. A very long text is read alone, some words at a time, by a worker that
+    holds some ten times its size.
     """
-    weighed = weigh(docs, ngrams.fit(docs, labels, max_labels, id_column, text_column), seed, aversion, id_column, text_column)
-    keys = written(weighed.select("weight.log_weight", "weight.key"), "weights").where(F.col("key") > float("-inf"))
-    n, fit = keys.agg(F.count("*"), F.count_if(F.col("log_weight") > -margin)).first()
-    k = fit if k is None else min(k, n)
-    least = kth_largest(keys, "key", k) if k else float("inf")
-    return weighed.withColumn("weight", F.struct("weight.*", (F.col("weight.key") >= least).alias("kept")))
+    ratio = ngrams.fit(docs, labels, max_labels, id_column, text_column)
+    return draw(written(weigh(docs, ratio, seed, aversion, id_column, text_column, passage), "weighed"), k, share, margin)
 
 
-def op1_quality(spark, sf_dir: str) -> DataFrame:
+def op1_quality(spark, sf_dir: str, share: float = SHARE) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "weight.*")
+    weighed = weigh(docs, ngrams.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), 1).select("doc_id", "weight")
+    return draw(written(weighed, "weighed"), share=share).select("doc_id", "weight.*")
 
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+#: Bytes that go on with a code point; they are in words alone.
+_FOLLOWS = (np.arange(256) & 0xC0) == 0x80
 RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -112,33 +135,31 @@ def measure(texts: pa.Array, window: int = 8) -> dict:
     t = Texts(texts)
     words = t.words(SPACED)
     buf = t.buf
-    first = (buf & 0xC0) != 0x80
     h = words.hashes()
     n = len(h)
-    chars = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(first, out=chars[1:])
-    word_chars = sums(chars[words.end] - chars[words.start], words.at)
-    symbols = np.searchsorted(np.flatnonzero(_SYMBOL[buf]), np.append(t.start, len(buf)))
-    # lines
+    word_bytes = sums(words.end - words.start, words.at)
+    # lines; the last one of a text ends at its separator
     stop = np.flatnonzero(buf == 10)
     start = np.concatenate(([0], stop[:-1] + 1)) if len(stop) else np.zeros(0, np.int64)
     line_words = np.searchsorted(words.start, stop) - np.searchsorted(words.start, start)
     line_text = np.searchsorted(t.end, stop)
     some = np.flatnonzero(line_words > 0)
-    lines = span_hash(prefix(byte_values(0)[buf], _BYTE_BASE), start[some], stop[some], _BYTE_BASE) + mix(line_text[some].astype(np.uint64))
+    lines = span_hashes(t.padded, start[some], stop[some]) + mix(line_text[some].astype(np.uint64))
     order = np.argsort(lines, kind="stable")
     again = np.zeros(len(some), bool)
     again[order[1:]] = lines[order[1:]] == lines[order[:-1]]
     dup = np.bincount(line_text[some][again], minlength=t.n)
     # windows of words
     text_of = words.text_of()
-    win = windows(h, window)
     at = np.flatnonzero(whole(words.at, window, n))
-    hit = at[repeated(win[at] + mix(text_of[at].astype(np.uint64)))] if len(at) else at
+    key = windows(h, window)[at]
+    if t.n > 1:
+        key += mix(text_of[at].astype(np.uint64))
+    hit = at[repeated(key)] if len(at) else at
     return {
         "n_words": words.n,
-        "word_chars": word_chars,
-        "n_symbols": np.diff(symbols),
+        "word_chars": word_bytes - t.count(_FOLLOWS),
+        "n_symbols": t.count(_SYMBOL),
         "n_dup_lines": dup,
         "n_repeat_words": sums(covered(hit, window, n).astype(np.int64), words.at),
     }
@@ -151,7 +172,8 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
     words that it holds twice. Others are kept if the mean log ratio of their n-grams under the trusted target
     and the raw corpus reaches the threshold, and if no window of 64 words has averse words of ``aversion`` or more. A null text has no words, so it fails. Repeated rows get the same
     verdict; null ids can't be labelled; other columns pass through, one named ``rules`` is replaced; an empty
-    table gives no rows; without trusted labels all ratios are 0.
+    table gives no rows; without trusted labels all ratios are 0. A very long text is read alone, by a worker that
+    holds some ten times its size.
     """
     held = docs.sparkSession.sparkContext.broadcast(ngrams.fit(docs, labels, max_labels, id_column, text_column))
 

@@ -69,19 +69,23 @@ def opened(first: int, gaps: bytes, wide: bytes) -> np.ndarray:
 
 
 class Chunk:
-    """What a worker has gathered of some texts: the windows to send, by hash, place, and the id that orders their texts."""
+    """What a worker has gathered of some texts: the windows to send, by hash, place, and the id that orders their texts.
 
-    def __init__(self, cells: int, ordered: bool):
-        self.cells, self.ordered = cells, ordered
+    ``name`` tells chunks of one job apart: equal texts may well make equal chunks. Windows that are ordered have
+    two hashes of their own, 128 bits in all: what is equal there goes without another look.
+    """
+
+    def __init__(self, cells: int, ordered: bool, name: str):
+        self.cells, self.ordered, self.name = cells, ordered, name
         self.ids: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.words = self.bytes = 0
 
-    def add(self, ids: np.ndarray, keys: np.ndarray, words: Words, place: np.ndarray, hashes: np.ndarray, flag: np.ndarray) -> None:
-        """place: windows' places among all words of the call; flag: reference blocks."""
-        self.parts.append((hashes, place + self.words, flag, np.repeat(ids, np.diff(np.searchsorted(place, words.at)))))
+    def add(self, ids: np.ndarray, keys: np.ndarray, words: Words, place: np.ndarray, hashes: np.ndarray, more: np.ndarray) -> None:
+        """place: windows' places among all words of the call; more: their second hashes, or (not ordered) which are reference blocks."""
+        self.parts.append((hashes, place + self.words, more, np.repeat(ids, np.diff(np.searchsorted(place, words.at)))))
         self.ids.append(ids)
         self.keys.append(keys)
         self.n.append(words.n)
@@ -93,22 +97,24 @@ class Chunk:
             return
         ids, keys, n = (np.concatenate(x) for x in (self.ids, self.keys, self.n))
         table, offsets = np.concatenate([ids, keys]).tobytes(), np.concatenate(([0], np.cumsum(n))).astype(np.int64).tobytes()
-        chunk = int.from_bytes(hashlib.blake2b(table + offsets, digest_size=8).digest(), "little", signed=True)
-        h, place, flag, own = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.lexsort((place, own, h)) if self.ordered else np.argsort(h, kind="stable")
-        h, place, flag, own = h[order], place[order], flag[order], own[order]
+        chunk = int.from_bytes(hashlib.blake2b(table + offsets + self.name.encode(), digest_size=8).digest(), "little", signed=True)
+        h, place, more, own = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((place, own, more, h)) if self.ordered else np.argsort(h, kind="stable")
+        h, place, more, own = h[order], place[order], more[order], own[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
+        if self.ordered:
+            new[1:] |= more[1:] != more[:-1]
         first = np.flatnonzero(new)
         many = np.diff(np.append(first, len(h))) > 1
         # the answer that needs no cell: later copies (in order), or all copies
         known = ~new if self.ordered else np.repeat(many, np.diff(np.append(first, len(h))))
         self_hits = np.sort(place[known])
-        any_flag = np.logical_or.reduceat(flag, first) if len(first) else flag
+        more = more[first] if self.ordered or not len(first) else np.logical_or.reduceat(more, first)
         h, place, own = h[first], place[first], own[first]
         cell = ((h >> U64(32)) * U64(self.cells) >> U64(32)).astype(np.int64)
         order = np.lexsort((place, cell))
-        h, place, own, cell, any_flag, many = (x[order] for x in (h, place, own, cell, any_flag, many))
+        h, place, own, cell, more, many = (x[order] for x in (h, place, own, cell, more, many))
         rows: dict[str, list] = {f.name: [] for f in MESSAGE}
 
         def row(**values) -> None:
@@ -124,8 +130,9 @@ class Chunk:
                 apart = own[a:b].astype(np.uint64) - np.array(base).astype(np.uint64)
                 extra = {"base": base, "ids": apart.astype(np.uint32 if int(apart.max()) < 2**32 else np.uint64).tobytes()}
             else:
-                extra = {"flags": np.packbits(np.concatenate([any_flag[a:b], many[a:b]])).tobytes()}
-            row(cell=int(cell[a]), chunk=chunk, first=start, gaps=gaps, wide=wide, hash=(h[a:b] if self.ordered else h[a:b].astype(np.uint32)).tobytes(), **extra)
+                extra = {"flags": np.packbits(np.concatenate([more[a:b], many[a:b]])).tobytes()}
+            hash_ = np.concatenate([h[a:b], more[a:b]]) if self.ordered else h[a:b].astype(np.uint32)
+            row(cell=int(cell[a]), chunk=chunk, first=start, gaps=gaps, wide=wide, hash=hash_.tobytes(), **extra)
         start, gaps, wide = close(self_hits) if len(self_hits) else (None, None, None)
         row(cell=-1 - chunk % self.cells, chunk=chunk, first=start, gaps=gaps, wide=wide, table=table, offsets=offsets)
         for i in range(0, len(rows["cell"]), 512):
@@ -134,15 +141,20 @@ class Chunk:
 
 def send(df: DataFrame, gather: Callable[[Chunk, pa.RecordBatch], None], cells: int, ordered: bool, column: str) -> DataFrame:
     """Messages of chunks of df's rows: gather(chunk, rows) adds some rows to a chunk."""
+    ready()
 
     def run(batches):
-        chunk = Chunk(cells, ordered)
+        from pyspark import TaskContext
+
+        part_of, n = TaskContext.get().partitionId(), 0
+        chunk = Chunk(cells, ordered, f"{part_of}/{n}")
         for batch in batches:
             for part in groups(batch, column):
                 gather(chunk, part)
                 if chunk.bytes >= CHUNK_BYTES:
                     yield from chunk.messages()
-                    chunk = Chunk(cells, ordered)
+                    n += 1
+                    chunk = Chunk(cells, ordered, f"{part_of}/{n}")
                     give_back()
         yield from chunk.messages()
         give_back()
@@ -156,21 +168,22 @@ ANSWER_DDL = "chunk long, first long, gaps binary, wide binary, table binary, of
 
 def judge_cells(messages: DataFrame, ordered: bool) -> DataFrame:
     """Answers of cells to chunks. Not ordered: windows found twice or more and at least once as a reference block. Ordered: all but the first occurrence."""
+    ready()
 
     def judge(messages: pa.Table) -> pa.Table:
         rows = messages.to_pylist()
         if rows[0]["cell"] < 0:
             return messages.select(ANSWER.names).cast(ANSWER)
         rows.sort(key=lambda r: r["chunk"])
-        kind = np.uint64 if ordered else np.uint32
-        h = [np.frombuffer(r["hash"], kind) for r in rows]
-        n = np.array([len(x) for x in h])
-        h, row = np.concatenate(h), np.repeat(np.arange(len(rows)), n)
+        h = [np.frombuffer(r["hash"], np.uint64).reshape(2, -1) if ordered else np.frombuffer(r["hash"], np.uint32) for r in rows]
+        n = np.array([x.shape[-1] for x in h])
+        h, row = np.concatenate(h, axis=-1), np.repeat(np.arange(len(rows)), n)
         if ordered:
+            h, more = h
             own = np.concatenate([np.frombuffer(r["ids"], np.uint32 if len(r["ids"]) == 4 * k else np.uint64).astype(np.int64) + r["base"] for r, k in zip(rows, n.tolist(), strict=True)])
-            order = np.lexsort((row, own, h))
+            order = np.lexsort((row, own, more, h))
             hit = np.zeros(len(h), bool)
-            hit[order[1:]] = h[order[1:]] == h[order[:-1]]
+            hit[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
         else:
             bits = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=2 * k) for r, k in zip(rows, n.tolist(), strict=True)]
             flag, many = (np.concatenate([b[i * k : (i + 1) * k] for b, k in zip(bits, n.tolist(), strict=True)]).astype(bool) for i in (0, 1))
@@ -197,6 +210,7 @@ def judge_cells(messages: DataFrame, ordered: bool) -> DataFrame:
 
 def answered(answers: DataFrame, name: str) -> DataFrame:
     """doc_id, text_hash, and a list ``name`` of the hit places in the document (also an empty one)."""
+    ready()
     schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), (name, pa.list_(pa.int32()))])
 
     def gather(answers: pa.Table) -> pa.Table:
@@ -251,7 +265,7 @@ def find_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column:
                 np.add.at(near, np.maximum(at - (window - block), a), 1)
                 np.add.at(near, at + 1, -1)
             place = np.flatnonzero((np.cumsum(near)[: max(0, len(h) - window + 1)] > 0) & whole(words.at, window, len(h)))
-            chunk.add(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), words, place, windows(h, window)[place], np.zeros(len(place), bool))
+            chunk.add(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), words, place, windows(h, window)[place], windows(words.hashes(1), window)[place])
 
     sent = own.select("doc_id", "text_hash", packed(F.col("text")).alias("packed")).join(hits.hint("merge"), ["doc_id", "text_hash"]).sortWithinPartitions("doc_id", "text_hash")
     removed = answered(judge_cells(send(sent, extend, cells, True, "packed"), True), "removed")
@@ -283,6 +297,7 @@ def cut(texts: pa.Array, removed: pa.Array, window: int, joined: bool) -> dict:
 
 def cut_udf(schema: str, window: int, joined: bool, finish: Callable[[list[bytes]], pa.Array]):
     """A column function of (packed text, removed): n_words, n_removed, and ``finish`` of what is kept. Texts are unpacked some at a time."""
+    ready()
 
     @F.arrow_udf(schema)
     def run(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -309,7 +324,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column
 
     A text that loses nothing stays as it is, one that loses words keeps the white space inside its kept runs,
     with one blank where words went. Null texts come out as null, and lose nothing. Other columns pass through,
-    one named ``repeats`` is replaced. An empty table gives no rows.
+    one named ``repeats`` is replaced. An empty table gives no rows. Rows that agree in id and text are one document:
+    each keeps what the first keeps. A very long text is a chunk of its own, whose worker holds about thirty times its size.
     """
     own = docs.drop("repeats")
 

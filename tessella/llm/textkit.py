@@ -1,16 +1,19 @@
-"""Vectorised text primitives: words, word hashes and rolling window hashes over Arrow batches.
+"""Vectorised text primitives: words, word hashes and window hashes over Arrow batches.
 
-A batch of texts is laid out as one byte buffer with a separator between texts.
-Hashes are polynomials over the 64-bit ring with random byte values, finished by a
-64-bit mixer; a window hash is a polynomial over mixed word hashes.
+A batch of texts is laid out as one byte buffer with a separator between texts. A hash of bytes chains a
+multiply-xorshift step over eight bytes at a time (long spans go through BLAKE2b); a window hash chains the like
+over word hashes, by doubling. Neither is a polynomial, so no fixed pattern of words cancels out.
+
+Beside the buffer, memory goes by words (about 24 bytes each), not by bytes: temporaries are made for some
+words at a time, so that one very long text costs a small multiple of its size.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import sys
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,11 @@ U64 = np.uint64
 _LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Texts are handled in groups of about this many bytes, so that temporaries stay small.
 GROUP_BYTES = 400_000
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bytes that are searched for words at once, spans that are hashed at once, and bytes from which on a span goes through BLAKE2b.
+PIECE, SPANS, LONG = 1 << 20, 1 << 16, 256
+_STEP, _PAIR = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+#: Bytes of a lane that belong to a span with so many bytes left.
+_LANE = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def spaced_table() -> np.ndarray:
@@ -50,30 +57,6 @@ def lower_table() -> np.ndarray:
 SPACED, ALNUM, LOWER = spaced_table(), alnum_table(), lower_table()
 
 
-@lru_cache(8)
-def byte_values(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed + 77).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**i mod 2**64 for i below n."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        p = np.full(size, base, dtype=np.uint64)
-        p[0] = 1
-        have = _powers[base] = np.cumprod(p, dtype=np.uint64)
-    return have[:n]
-
-
-@lru_cache(16)
-def inverse(base: int) -> int:
-    return pow(base, -1, 2**64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finisher."""
     x = x ^ (x >> U64(30))
@@ -84,18 +67,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Sums of values[i] * base**i before each place."""
-    out = np.empty(len(values) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum(values * powers(base, len(values)), out=out[1:])
+def span_hashes(padded: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of a buffer that goes on for 8 bytes after the last one."""
+    out = np.empty(len(start), np.uint64)
+    lanes = np.ndarray((max(0, len(padded) - 7),), np.uint64, padded, strides=(1,))
+    salt = mix(np.array([seed + 1], np.uint64))[0]
+    for i in range(0, len(start), SPANS):
+        s, size = start[i : i + SPANS], end[i : i + SPANS] - start[i : i + SPANS]
+        h = size.astype(np.uint64) * _PAIR ^ salt
+        live, at, left, lane = None, s, size, h.copy()
+        short = size < LONG
+        if not short.all():
+            live = np.flatnonzero(short)
+            at, left, lane = s[live], size[live], h[live]
+        while len(left):
+            x = lanes[at]
+            x &= _LANE[np.minimum(left, 8)]
+            x ^= lane
+            x *= _STEP
+            x ^= x >> U64(32)
+            if live is None:
+                h = x
+            else:
+                h[live] = x
+            more = np.flatnonzero(left > 8)
+            live = more if live is None else live[more]
+            at, left, lane = at[more] + 8, left[more] - 8, x[more]
+        for k in np.flatnonzero(~short).tolist():
+            digest = hashlib.blake2b(padded[s[k] : s[k] + size[k]], digest_size=8, salt=seed.to_bytes(8, "little")).digest()
+            h[k] = int.from_bytes(digest, "little")
+        out[i : i + SPANS] = mix(h)
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * powers(inverse(base), len(sums))[start] + (end - start).astype(np.uint64))
-
-
 class Texts:
     """Some texts as one buffer: text i is buf[start[i]:end[i]]; each is followed by a newline."""
 
@@ -104,9 +108,9 @@ class Texts:
         joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(column)], pa.int64()), column), pa.scalar("\n", pa.large_string()))
         sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) if len(column) else np.zeros(0, np.int64)
         raw = joined[0].as_buffer() if len(column) else pa.py_buffer(b"")
-        self.buf = np.empty(raw.size + 1, np.uint8)
-        self.buf[:-1] = np.frombuffer(raw, np.uint8)
-        self.buf[-1] = 10
+        self.padded = np.full(raw.size + 9, 10, np.uint8)
+        self.padded[: raw.size] = np.frombuffer(raw, np.uint8)
+        self.buf = self.padded[: raw.size + 1]
         self.end = np.cumsum(sizes + 1) - 1
         self.start = self.end - sizes
         self.n = len(column)
@@ -114,35 +118,73 @@ class Texts:
     def words(self, table: np.ndarray = SPACED, lower: bool = False) -> "Words":
         return Words(self, table, lower)
 
+    def count(self, of: np.ndarray) -> np.ndarray:
+        """For each text its bytes that the table ``of`` holds true for."""
+        places = [np.flatnonzero(of[self.buf[i : i + PIECE]]) + i for i in range(0, len(self.buf), PIECE)]
+        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+        return np.searchsorted(at, self.end) - np.searchsorted(at, self.start)
+
 
 class Words:
     """The words of some texts: byte spans, and at[i]:at[i + 1] the words of text i."""
 
     def __init__(self, texts: Texts, table: np.ndarray, lower: bool):
-        self.texts = texts
-        self.buf = LOWER[texts.buf] if lower else texts.buf
-        inside = table[self.buf]
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if inside[0]:
-            edges = np.concatenate(([0], edges))
-        self.start, self.end = edges[0::2], edges[1::2]
+        self.texts, self.table = texts, table
+        self.padded = LOWER[texts.padded] if lower else texts.padded
+        self.buf = self.padded[: len(texts.buf)]
+        edges, before = [], False
+        for i in range(0, len(self.buf), PIECE):
+            inside = table[self.buf[i : i + PIECE]]
+            change = inside.copy()
+            change[1:] = inside[1:] != inside[:-1]
+            change[0] = inside[0] != before
+            edges.append(np.flatnonzero(change) + i)
+            before = inside[-1]
+        all_ = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+        self.start, self.end = all_[0::2], all_[1::2]
         self.at = np.searchsorted(self.start, np.append(texts.start, len(texts.buf)))
         self.n = np.diff(self.at)
 
     def text_of(self) -> np.ndarray:
-        return np.repeat(np.arange(self.texts.n), self.n)
+        return np.repeat(np.arange(self.texts.n, dtype=np.int32), self.n)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hash(prefix(byte_values(seed)[self.buf], _BYTE_BASE), self.start, self.end, _BYTE_BASE)
+        return span_hashes(self.padded, self.start, self.end, seed)
+
+    def contents(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of BLAKE2b of each text's sequence of words, as two numbers."""
+        to = np.concatenate(([0], np.cumsum(self.end - self.start + 1)))
+        keep = self.table[self.buf]
+        keep[self.end] = True  # one byte after each word
+        flat = self.buf[keep]
+        flat[to[1:] - 1] = 32
+        cut = to[self.at]
+        digests = b"".join(hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        both = np.frombuffer(digests, np.int64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of k values from each place on, for the places that have as many after them."""
-    if len(hashes) < k:
+    n = len(hashes) - k + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    sums = prefix(hashes, _WORD_BASE)
-    start = np.arange(len(hashes) - k + 1)
-    return span_hash(sums, start, start + k, _WORD_BASE)
+
+    def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * _STEP
+        x += b
+        x ^= x >> U64(32)
+        return x
+
+    out, size, run, width = None, 0, hashes, 1  # out[i] stands for size values from i on, run[i] for width values
+    while True:
+        if k & width:
+            out = run if out is None else after(out[: len(run) - size], run[size:])
+            size += width
+        if size == k:
+            return mix(out[:n] * _PAIR + U64(k))
+        run = after(run[:-width], run[width:])
+        width *= 2
 
 
 def whole(at: np.ndarray, k: int, n: int) -> np.ndarray:
@@ -157,10 +199,10 @@ def whole(at: np.ndarray, k: int, n: int) -> np.ndarray:
 
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of n places are in a window of k from one of the starts."""
-    d = np.zeros(n + 1, np.int64)
+    d = np.zeros(n + 1, np.int32)
     np.add.at(d, starts, 1)
     np.add.at(d, np.minimum(starts + k, n), -1)
-    return np.cumsum(d[:-1]) > 0
+    return np.cumsum(d[:-1], out=d[:-1]) > 0
 
 
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:

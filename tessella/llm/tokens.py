@@ -7,6 +7,8 @@ Tier two encodes what misses it, and keeps the lengths in a cache of the worker.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tessella.llm.textkit import map_texts
 
-#: Most pre-tokens in the broadcast table (a few MB), texts in the sample that it is made from, and lengths that a worker keeps.
-TABLE, SAMPLE, CACHE = 50_000, 1_000, 1_000_000
+#: Most pre-tokens in the broadcast table (a few MB), texts in the sample that it is made from, bytes that such a text may have, and lengths that a worker keeps.
+TABLE, SAMPLE, SAMPLE_BYTES, CACHE = 50_000, 1_000, 1 << 15, 400_000
+#: Characters of the longest pre-token that the table or a cache holds, and pre-tokens that are looked up at once.
+LONGEST, AT_ONCE = 64, 1 << 16
 
 _tokenizers: dict[str, tuple] = {}
 _cache: dict[str, dict[str, int]] = {}
@@ -52,37 +56,69 @@ def loaded(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def pre_tokens(text: str, path: str) -> tuple[list[str], int]:
-    """The pre-tokens of a text, and how many special strings stand between them: each of these is one token."""
+def pre_tokens(text: str, path: str) -> Iterator[str | None]:
+    """The pre-tokens of a text, and None for each special string between them, which is one token."""
     _, pattern, special = loaded(path)
-    if special is None or not special.search(text):
-        return pattern.findall(text), 0
-    parts = special.split(text)
-    return [x for part in parts for x in pattern.findall(part)], len(parts) - 1
+    at = 0
+    for found in special.finditer(text) if special is not None else ():
+        yield from map(regex_text, pattern.finditer(text, at, found.start()))
+        yield None
+        at = found.end()
+    yield from map(regex_text, pattern.finditer(text, at) if at else pattern.finditer(text))
+
+
+def regex_text(found) -> str:
+    return found.group()
 
 
 def lengths(texts: list[str], frequent: dict[str, int], path: str) -> list[int]:
-    """Tokens of each text."""
-    tokenizer = loaded(path)[0]
+    """Tokens of each text. Of a long text some pre-tokens are looked up at a time."""
+    tokenizer, pattern, special = loaded(path)
     cache = _cache[path]
-    if len(cache) > CACHE:
-        cache.clear()
-    split = [pre_tokens(t, path) for t in texts]
-    seen: set[str] = set()
-    for parts, _ in split:
-        seen.update(parts)
-    known = {x: n for x in seen if (n := frequent.get(x) or cache.get(x))}
-    if missed := [x for x in seen if x not in known]:
-        for x, e in zip(missed, tokenizer.encode_batch(missed, add_special_tokens=False), strict=True):
-            known[x] = cache[x] = len(e.ids)
-    return [sum(map(known.__getitem__, parts)) + n for parts, n in split]
+    out = [0] * len(texts)
+    held: list[tuple[int, list[str]]] = []
+    n = 0
+
+    def settle() -> None:
+        if len(cache) > CACHE:
+            cache.clear()
+        seen: set[str] = set()
+        for _, parts in held:
+            seen.update(parts)
+        known = {x: n for x in seen if (n := frequent.get(x) or cache.get(x))}
+        if missed := [x for x in seen if x not in known]:
+            for x, e in zip(missed, tokenizer.encode_batch(missed, add_special_tokens=False), strict=True):
+                known[x] = len(e.ids)
+                if len(x) <= LONGEST:
+                    cache[x] = known[x]
+        for i, parts in held:
+            out[i] += sum(map(known.__getitem__, parts))
+        held.clear()
+
+    for i, text in enumerate(texts):
+        if len(text) < AT_ONCE and (special is None or not special.search(text)):
+            held.append((i, pattern.findall(text)))
+            n += len(held[-1][1])
+        else:
+            rest = pre_tokens(text, path)
+            while parts := list(islice(rest, AT_ONCE)):
+                words = [x for x in parts if x is not None]
+                out[i] += len(parts) - len(words)
+                held.append((i, words))
+                settle()
+            n = 0
+        if n >= AT_ONCE:
+            settle()
+            n = 0
+    settle()
+    return out
 
 
 def frequent_lengths(own: DataFrame, path: str) -> dict[str, int]:
-    """Lengths of up to TABLE pre-tokens that are frequent in SAMPLE texts, the first that Spark comes upon: the table changes the speed, never a count."""
+    """Lengths of up to TABLE pre-tokens that are frequent in SAMPLE texts of up to SAMPLE_BYTES, the first that Spark comes upon: the table changes the speed, never a count."""
     count: Counter[str] = Counter()
-    for (text,) in own.select("text").where("text IS NOT NULL").take(SAMPLE):
-        count.update(pre_tokens(text, path)[0])
+    for (text,) in own.select("text").where(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE):
+        count.update(x for x in pre_tokens(text, path) if x is not None and len(x) <= LONGEST)
     common = [x for x, _ in count.most_common(TABLE)]
     return {x: len(e.ids) for x, e in zip(common, loaded(path)[0].encode_batch(common, add_special_tokens=False), strict=True)} if common else {}
 
@@ -92,6 +128,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 512, id_
 
     A null text counts as empty: 0 bytes, 0 tokens. Null and repeated ids pass as they are; other columns are
     ignored; an empty table gives no rows. Special strings inside a text count as the library's default has it.
+    Repeated rows get a row each. A very long text is split some pre-tokens at a time, by a worker that holds some
+    six times its size; a single pre-token of many MB takes what the library takes for it.
     """
     path = path or tokenizer_path()
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

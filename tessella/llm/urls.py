@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import written
 from tessella.llm.workers import ready
 
 
@@ -103,18 +104,20 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RUL
     The verdict is that of the longest rule that fits; where none fits, ``block`` if the canonical URL is on the
     list (a column ``url`` of URLs as they are found), else ``allow``. A null URL, or one without ``://``, has an
     empty host and path, fits no rule and is never on the list. Repeated rows of pages give a row each, repeated
-    rows of the list change nothing; null ids pass; other columns are ignored; either table may be empty.
+    rows of the list change nothing; null ids pass; other columns are ignored; either table may be empty. A very long URL is
+    one like any other. Equally long rules that fit are told apart by their order.
 
-    Only rows that no rule decides and that pass the filter are shuffled, for the exact join on the canonical URL;
-    ``listed`` is false for rows that a rule decides.
+    The pages are read and the filter asked once, into a table. Only rows that no rule decides and that pass the
+    filter are shuffled from it, for the exact join on the canonical URL, which rules out what the filter has let
+    through by chance; ``listed`` is false for rows that a rule decides.
     """
     raw = F.col(url_column)
     names, verdicts = ([F.lit(x) for x in xs] or [F.lit("")] for xs in ([r.name for r in rules], [r.verdict for r in rules]))
     keyed = pages.select(F.col(id_column).alias("page_id"), host_of(raw).alias("host"), path_of(raw).alias("path"), canonical(raw).alias("canonical"))
     keyed = keyed.withColumn("i", rule_of(F.col("host"), F.col("path"), rules))
-    keys = listed.select(canonical(F.col("url")).alias("canonical")).where("canonical <> ''").distinct()
+    keys = written(listed.select(canonical(F.col("url")).alias("canonical")).where("canonical <> ''").distinct(), "listed")
     passed = may_hold(pages.sparkSession, bloom(keys, "canonical", keys.count()), "canonical")
-    marked = keyed.withColumn("candidate", F.when(F.col("i").isNull() & (F.col("canonical") != ""), passed).otherwise(F.lit(False)))
+    marked = written(keyed.withColumn("candidate", F.when(F.col("i").isNull() & (F.col("canonical") != ""), passed).otherwise(F.lit(False))), "marked")
     out = ["page_id", "host", "path", "i", "canonical", "listed"]
     sure = marked.where("not candidate").withColumn("listed", F.lit(False)).select(*out)
     found = marked.where("candidate").join(keys.withColumn("listed", F.lit(True)), "canonical", "left")
@@ -129,15 +132,23 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[Rule] = RUL
     )
 
 
-#: Labels of hosts whose pages make the list of the query where none is given: a stand-in drawn from the pages themselves.
+#: The list of the query where none is given: hosts of these labels in some domains, and pages of these languages and numbers. It doesn't look at the pages.
 BAD_HOSTS = ("adult-x", "spam-farm", "cheap-pills", "ads-track", "casino-win", "free-bets")
+DOMAINS, LANGUAGES, NUMBERS = ("example.com", "example.net"), ("de", "en", "es", "fr"), 10_000
+
+
+def block_list(spark) -> DataFrame:
+    """The URLs of that list (column url): a few times 10,000 for each host, of which pages have some."""
+    table = lambda name, values: spark.createDataFrame([(v,) for v in values], f"{name} string")
+    hosts = table("label", BAD_HOSTS).crossJoin(table("prefix", ("", "blog."))).crossJoin(table("domain", DOMAINS))
+    paths = table("lang", LANGUAGES).crossJoin(table("suffix", ("", ".html")))
+    numbers = spark.range(NUMBERS)
+    return numbers.crossJoin(F.broadcast(hosts.crossJoin(paths))).select(F.format_string("http://%s%s.%s/%s/%d%s", "prefix", "label", "domain", "lang", "id", "suffix").alias("url"))
 
 
 def op4_urls(spark, sf_dir: str, listed: DataFrame | None = None) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    if listed is None:
-        listed = pages.where(host_of(F.col("url")).rlike(rf"(^|\.)({'|'.join(BAD_HOSTS)})\.")).select("url")
-    return filter_urls(pages, listed)
+    return filter_urls(pages, block_list(spark) if listed is None else listed)
 
 
 OP4_SQL = r"""
@@ -156,8 +167,10 @@ best AS (
   SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS rverdict
   FROM urls JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path
 ), listed AS (
-  SELECT DISTINCT canonical FROM keyed
-  WHERE canonical <> '' AND regexp_matches(host, '(^|\.)(adult-x|spam-farm|cheap-pills|ads-track|casino-win|free-bets)\.')
+  SELECT prefix || label || '.' || domain || '/' || lang || '/' || n || suffix AS canonical
+  FROM range(10000) AS r(n), (VALUES ('adult-x'), ('spam-farm'), ('cheap-pills'), ('ads-track'), ('casino-win'), ('free-bets')) AS a(label),
+    (VALUES (''), ('blog.')) AS b(prefix), (VALUES ('example.com'), ('example.net')) AS c(domain),
+    (VALUES ('de'), ('en'), ('es'), ('fr')) AS d(lang), (VALUES (''), ('.html')) AS e(suffix)
 )
 SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END) AS verdict, canonical,
   rule IS NULL AND canonical IN (SELECT canonical FROM listed) AS listed

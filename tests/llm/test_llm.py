@@ -149,7 +149,7 @@ def brute_features(text):
 
 def test_features_are_ngrams(texts):
     data = list(texts.values())[:30] + ["", "a", "a a", None]
-    bucket, own = ngrams.features(pa.array(data, pa.string()))
+    bucket, own = (np.concatenate(x) for x in zip(*ngrams.features(pa.array(data, pa.string()))))
     name = {}
     for i, t in enumerate(data):
         want = Counter(brute_features(t))
@@ -164,7 +164,7 @@ def test_ratio_is_the_smoothed_log_ratio(spark, texts):
     lab = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (None, 1, 0), (0, 1, None)], "doc_id long, quality int, toxic int")
     ratio = ngrams.fit(docs, lab)
     raw, target = np.zeros(ngrams.BUCKETS), np.zeros(ngrams.BUCKETS)
-    bucket, own = ngrams.features(pa.array(["good good word", "bad bad bad", "good word"]))
+    ((bucket, own),) = ngrams.features(pa.array(["good good word", "bad bad bad", "good word"]))
     np.add.at(raw, bucket, 1)
     np.add.at(target, bucket[own == 0], 1)
     assert np.allclose(ratio.log, np.log((target + ngrams.PRIOR) / (raw * target.sum() / raw.sum() + ngrams.PRIOR)))

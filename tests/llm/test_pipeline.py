@@ -55,9 +55,12 @@ def test_stages_by_brute_force(spark):
     assert set(text(clean)) == {k for k, t in text(cut).items() if not brute_contamination(t, items)[1]}
 
     mixed = stages["mix"](spark, clean, DATA).collect()
+    largest = {}  # of all documents of a source: a source of few documents may miss its target by one that isn't taken
+    for r in clean.collect():
+        largest[r.source] = max(largest.get(r.source, 0), len(words(r.text)))
     for s in {r.source for r in mixed}:
         own = [r for r in mixed if r.source == s]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own)
+        assert abs(sum(r.taken for r in own) - own[0].target) <= largest[s]
     assert {r.doc_id: r.text for r in mixed}.items() <= text(clean).items()
     for df in (kept, one, cut, clean):
         assert df.columns == docs.columns
@@ -69,12 +72,14 @@ def test_run(spark):
 
 
 def test_near_copies_keeps_texts_that_share_an_id(spark):
-    x, y, z, v, w = (" ".join(f"{c}{i * 7 % 101}" for i in range(100)) for c in "xyzvw")
+    x, y, z, v, w, u = (" ".join(f"{c}{i * 7 % 101}" for i in range(100)) for c in "xyzvwu")
     near = w + " more"
-    rows = [(3, x), (5, x), (5, y), (8, z), (8, z), (2, w), (9, near), (9, v), (7, None), (7, ""), (None, y)]
+    rows = [(3, x), (5, x), (5, y), (8, z), (8, z), (2, w), (9, near), (9, v), (7, None), (7, ""), (7, None), (None, y), (None, x + " more"), (None, u), (None, u), (None, u + " more")]
     docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in rows], SCHEMA)
     got = corpus_pipeline.near_copies(spark, docs, DATA).collect()
-    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(3, x), (5, y), (8, z), (2, w), (9, v), (7, None), (7, ""), (None, y)], key=repr)
+    one = next(r.text for r in got if r.doc_id is None)  # of copies without ids one stays
+    assert one in (u, u + " more")
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(3, x), (5, y), (8, z), (2, w), (9, v), (7, None), (7, ""), (None, one)], key=repr)
 
 
 @pytest.mark.parametrize("k", range(5))
