@@ -73,5 +73,5 @@ def case(whens: Sequence[tuple[Column, object]], otherwise: object = None) -> Co
 
 
 def hashed(*columns, fast: bool = True) -> Column:
-    """A 64-bit (or 32-bit Murmur) hash of columns; nulls are skipped."""
-    return (F.xxhash64 if fast else F.hash)(*[col(c) for c in columns])
+    """A 64-bit (or 32-bit Murmur) hash of columns in their order; a null is a value of its own, wherever it stands."""
+    return (F.xxhash64 if fast else F.hash)(*[x for c in columns for x in (col(c).isNull(), col(c))])

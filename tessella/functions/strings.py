@@ -73,10 +73,12 @@ def rpad(s: ColumnOrName, length, pad=" ") -> Column:
 
 
 def lower(s: ColumnOrName) -> Column:
+    """By Unicode's rules; ASCII letters alone change with translate()."""
     return F.lower(col(s))
 
 
 def upper(s: ColumnOrName) -> Column:
+    """By Unicode's rules, so that a text may grow (one sharp s gives SS)."""
     return F.upper(col(s))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 Columns = Sequence[Column | str]
 
 JOINS = ("inner", "left_semi", "right_semi", "left_anti", "right_anti", "left", "right", "full")
+#: Rows that one side of a join without any condition may have.
+SIDE = 100_000
 SET_OPERATIONS = ("union", "union_all", "intersect", "intersect_all", "except", "except_all")
 
 
@@ -49,8 +51,12 @@ def hash_join(left: DataFrame, right: DataFrame, on: Column | str | Sequence[str
 
 
 def nested_loop_join(left: DataFrame, right: DataFrame, condition: Column | None = None) -> DataFrame:
-    """All pairs that meet any condition; all pairs without one. For a side that is known to be small."""
-    return left.crossJoin(right) if condition is None else left.join(right, condition)
+    """All pairs that meet any condition; all pairs without one, for which the right side may have SIDE rows at most."""
+    if condition is not None:
+        return left.join(right, condition)
+    if right.limit(SIDE + 1).count() > SIDE:
+        raise ValueError(f"the right side of all pairs has over {SIDE} rows")
+    return left.crossJoin(right)
 
 
 def aggregate(df: DataFrame, keys: Columns, aggregates: Sequence[Column], having: Column | None = None) -> DataFrame:
@@ -78,6 +84,30 @@ def top_k(df: DataFrame, keys: Columns, n: int, offset: int = 0) -> DataFrame:
     return limit(df.orderBy(*keys), n, offset)
 
 
+def skip(df: DataFrame, keys: Sequence[tuple[str, bool]], offset: int) -> DataFrame:
+    """All rows after the first ``offset`` in the order of keys (column, ascending; nulls first ascending, last descending), in that order.
+
+    Only the first rows are gathered, as a top-k: the others are those that come after the last of them, and the
+    rest of its ties. So no task sees all rows, as it would if they were counted off.
+    """
+    order = [F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in keys]
+    back = [F.col(c).desc_nulls_last() if up else F.col(c).asc_nulls_first() for c, up in keys]
+    if offset <= 0:
+        return df.orderBy(*order)
+    first = df.orderBy(*order).limit(offset)
+    n = first.count()
+    if n < offset:
+        return df.limit(0)
+    edge = first.select(*[c for c, _ in keys]).orderBy(*back).first()
+    after, tied = F.lit(False), F.lit(True)
+    for c, up in keys:
+        v = edge[c]
+        beyond = (F.col(c).isNotNull() if v is None else F.col(c) > v) if up else (F.lit(False) if v is None else F.col(c).isNull() | (F.col(c) < v))
+        after = after | (tied & F.coalesce(beyond, F.lit(False)))
+        tied = tied & F.col(c).eqNullSafe(F.lit(v))
+    return df.where(after).unionAll(df.where(tied).exceptAll(first.where(tied))).orderBy(*order)
+
+
 def distinct(df: DataFrame, *columns: str) -> DataFrame:
     return (df.select(*columns) if columns else df).distinct()
 

@@ -121,7 +121,12 @@ line(
 line("int_ops", a=(lambda: N.int_divide(F.col("s_suppkey") - 50, F.lit(7)), "CAST(trunc((s_suppkey - 50) / 7.0) AS BIGINT)"), b=(lambda: N.modulo(F.col("s_suppkey") - 50, F.lit(7).cast("long")), "(s_suppkey - 50) % 7"), c=(lambda: N.modulo(bal(), F.lit(0.0)), "CAST(NULL AS DOUBLE)"))
 line("checked", a=(lambda: N.checked("add", F.lit(2**63 - 50), F.col("s_suppkey")), "CASE WHEN s_suppkey < 50 THEN 9223372036854775758 + s_suppkey END"))
 line("zero_bits", a=(lambda: N.leading_zeros("s_suppkey").cast("long"), "CAST(64 - length(ltrim(bin(s_suppkey), '0')) AS BIGINT)"), b=(lambda: N.trailing_zeros("s_suppkey").cast("long"), "CAST(CASE WHEN s_suppkey = 0 THEN 64 ELSE length(bin(s_suppkey)) - length(rtrim(bin(s_suppkey), '0')) END AS BIGINT)"))
-line("hash", a=(lambda: P.hashed("s_suppkey") == P.hashed("s_suppkey"), "true"), b=(lambda: P.hashed("s_name", fast=False).isNotNull(), "true"))
+line(
+    "hash",
+    a=(lambda: P.hashed(F.col("s_nationkey").cast("long"), "s_suppkey") == P.hashed("s_suppkey", F.col("s_nationkey").cast("long")), "s_nationkey = s_suppkey"),
+    b=(lambda: P.hashed(F.nullif("s_nationkey", F.lit(1))) == P.hashed(F.lit(None).cast("int")), "s_nationkey = 1"),
+    c=(lambda: P.hashed(F.lit(None).cast("int"), "s_nationkey", fast=False) == P.hashed("s_nationkey", F.lit(None).cast("int"), fast=False), "false"),
+)
 
 
 def event(name: str, **columns: tuple) -> None:

@@ -46,8 +46,9 @@ def lines(t: Tables) -> DataFrame:
     )
 
 
-def part_suppliers(t: Tables) -> DataFrame:
-    pairs = t.lineitem.select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct()
+def part_suppliers(rows: DataFrame) -> DataFrame:
+    """The part suppliers that some line items hold; give only those of the parts or suppliers that matter."""
+    pairs = rows.select(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).distinct()
     return pairs.withColumns(
         {"ps_availqty": 1 + (F.col("ps_partkey") * 31 + F.col("ps_suppkey") * 17) % 9999, "ps_supplycost": 1 + (F.col("ps_partkey") * F.col("ps_suppkey") % 100000) / 100.0}
     )
@@ -141,8 +142,9 @@ JOIN nation ON s_nationkey = n_nationkey WHERE p_name LIKE '%red%' GROUP BY 1, 2
 )
 def tpch_q9(spark, d):
     t = Tables(spark, d)
-    joined = R.star_join(t.lineitem, (t.part.where("p_name LIKE '%red%'"), "l_partkey", "p_partkey"), (t.supplier, "l_suppkey", "s_suppkey"), (t.orders, "l_orderkey", "o_orderkey"), (t.nation, "s_nationkey", "n_nationkey"))
-    joined = joined.join(part_suppliers(t), (F.col("ps_suppkey") == F.col("l_suppkey")) & (F.col("ps_partkey") == F.col("l_partkey")))
+    rows = t.lineitem.join(t.part.where("p_name LIKE '%red%'"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    joined = R.star_join(rows, (t.supplier, "l_suppkey", "s_suppkey"), (t.orders, "l_orderkey", "o_orderkey"), (t.nation, "s_nationkey", "n_nationkey"))
+    joined = joined.join(part_suppliers(rows), (F.col("ps_suppkey") == F.col("l_suppkey")) & (F.col("ps_partkey") == F.col("l_partkey")))
     profit = revenue() - F.col("ps_supplycost") * F.col("l_quantity")
     return R.aggregate(joined, ["n_name", F.year("o_orderdate").cast("long").alias("o_year")], [total(profit, "sum_profit")]).orderBy("n_name", F.desc("o_year"))
 
@@ -165,9 +167,9 @@ SELECT ps_partkey, round(sum(v), 2) AS value FROM g GROUP BY 1 HAVING sum(v) > (
 def tpch_q11(spark, d):
     t = Tables(spark, d)
     supplier = t.supplier.join(t.nation.where("n_name = 'NATION_7'"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
-    g = part_suppliers(t).join(supplier, F.col("ps_suppkey") == F.col("s_suppkey")).withColumn("v", F.col("ps_supplycost") * F.col("ps_availqty"))
-    least = R.aggregate(g, [], [(F.sum("v") * 0.002).alias("least")])
+    g = part_suppliers(t.lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")).withColumn("v", F.col("ps_supplycost") * F.col("ps_availqty"))
     per = R.aggregate(g, ["ps_partkey"], [F.sum("v").alias("v")])
+    least = R.aggregate(per, [], [(F.sum("v") * 0.002).alias("least")])
     return R.nested_loop_join(per, least, F.col("v") > F.col("least")).select("ps_partkey", F.round("v", 2).alias("value")).orderBy(F.desc("value"), "ps_partkey")
 
 
@@ -204,7 +206,8 @@ def tpch_q16(spark, d):
     """Suppliers with complaints are those whose number ends in 0."""
     t = Tables(spark, d)
     parts = t.part.where((F.col("p_brand") != "Brand#5") & ~F.col("p_type").like("MEDIUM%") & F.col("p_size").isin(49, 14, 23, 45, 19, 3, 36, 9))
-    joined = R.hash_join(part_suppliers(t), parts, F.col("ps_partkey") == F.col("p_partkey"))
+    rows = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    joined = R.hash_join(part_suppliers(rows), parts, F.col("ps_partkey") == F.col("p_partkey"))
     joined = R.hash_join(t.supplier.where("s_suppkey % 10 = 0"), joined, F.col("s_suppkey") == F.col("ps_suppkey"), "right_anti")
     return R.aggregate(joined, ["p_brand", "p_type", "p_size"], [F.count_distinct("ps_suppkey").alias("supplier_cnt")]).orderBy(F.desc("supplier_cnt"), "p_brand", "p_type", "p_size")
 

@@ -17,6 +17,11 @@ def bulk_load(spark: SparkSession, folder: str, table: str, schema: StructType |
     return read_csv(spark, f"{folder}/{table}.csv", schema, delimiter="|", null_string="\\N")
 
 
+def load_all(spark: SparkSession, folder: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of a benchmark's schemas (catalog.TPCH or catalog.STAR) from a folder of files for bulk loaders."""
+    return {name: bulk_load(spark, folder, name, schema) for name, schema in schemas.items()}
+
+
 def write_csv(df: DataFrame, path: str, delimiter: str = ",", null_string: str = "", mode: str = "errorifexists") -> None:
     df.write.mode(mode).options(sep=delimiter, nullValue=null_string, quote='"', escape='"').csv(path)
 

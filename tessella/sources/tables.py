@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -39,3 +43,15 @@ def consume(df: DataFrame, consumer: Callable[[Row], None]) -> int:
 
 def printed(df: DataFrame) -> Iterator[str]:
     return (as_text(r) for r in df.toLocalIterator(prefetchPartitions=True))
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder spark.checkpoint.dir; without one in a folder of this machine, on a local master alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        own = tempfile.mkdtemp(prefix="tessella-")
+        atexit.register(shutil.rmtree, own, True)
+        folder = f"file://{own}"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}/{name}"

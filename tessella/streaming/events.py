@@ -29,9 +29,10 @@ def sliding(events: DataFrame, size: str = "2 days", step: str = "1 day", late:
     return timed.groupBy(F.window("at", size, step).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Runs of a user's events that are less than a gap apart."""
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Runs of a user's events that are less than a gap apart. ``late`` closes those that ended that far before the newest event, which bounds the state of a stream."""
     timed = events.withColumn("at", F.col("ts").cast("timestamp"))
+    timed = timed.withWatermark("at", late) if late else timed
     return timed.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n")
 
 

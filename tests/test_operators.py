@@ -143,3 +143,53 @@ def test_sessions(spark):
     rows = [(1, "2020-01-01 00:00:00"), (1, "2020-01-01 00:29:00"), (1, "2020-01-01 01:00:00"), (2, "2020-01-01 00:00:00")]
     df = spark.createDataFrame(rows, "user_id int, t string").select("user_id", F.col("t").cast("timestamp_ntz").alias("ts"))
     assert sorted((r.user_id, r.n) for r in E.sessions(df).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize("up", [True, False])
+@pytest.mark.parametrize("offset", [0, 1, 3, 4, 7, 9, 10, 30])
+def test_skip_counts_off_the_first_rows(spark, up, offset):
+    rows = [(1, "a"), (2, "b"), (2, "c"), (2, "c"), (None, "n"), (None, "m"), (5, "z"), (7, None), (7, "y"), (9, "x")]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(3)
+    got = [r.k for r in R.skip(df, [("k", up)], offset).collect()]
+    order = sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0), reverse=not up)
+    assert got == order[offset:]
+    both = R.skip(df, [("k", up), ("v", True)], offset).collect()
+    assert len(both) == max(0, len(rows) - offset) and [r.k for r in both] == order[offset:]
+
+
+def test_all_pairs_need_a_small_side(spark, monkeypatch):
+    monkeypatch.setattr(R, "SIDE", 3)
+    assert R.nested_loop_join(spark.range(5), spark.range(3)).count() == 15
+    with pytest.raises(ValueError):
+        R.nested_loop_join(spark.range(5), spark.range(4))
+
+
+def test_sessions_of_a_stream_close(spark, tmp_path):
+    from tessella.streaming import events as E
+
+    def add(rows):
+        start = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
+        df = spark.createDataFrame(rows, "event_id long, m int, user_id long").selectExpr("event_id", f"{start} + make_dt_interval(0, 0, m) AS ts", "user_id", "'x' AS event_type", "1.0D AS value", "'' AS props")
+        df.write.mode("append").parquet(str(tmp_path / "events"))
+        E.start(E.sessions(E.read_events(spark, str(tmp_path / "events")), late="10 minutes"), "closed", str(tmp_path / "state"), sink="noop").awaitTermination()
+
+    add([(1, 0, 1), (2, 5, 1), (3, 100, 1), (4, 0, 2)])
+    add([(5, 500, 3)])  # without a watermark the append mode isn't allowed at all
+    with pytest.raises(Exception, match="(?i)watermark"):
+        E.start(E.sessions(E.read_events(spark, str(tmp_path / "events"))), "open", str(tmp_path / "other"), sink="noop").awaitTermination()
+
+
+def test_benchmark_files_load(spark, tmp_path):
+    from tessella.catalog import STAR, TPCH
+    from tessella.sources.csv import load_all
+
+    for kind, schemas in (("tpch", TPCH), ("star", STAR)):
+        folder = tmp_path / kind
+        folder.mkdir()
+        for name, schema in schemas.items():
+            types = [c.split()[1] for c in schema.split(", ")]
+            value = {"int": "7", "float": "2.5", "date": "1998-09-02", "string": "text"}
+            (folder / f"{name}.csv").write_text("|".join(value[t] for t in types) + "\n" + "|".join("\\N" for _ in types))
+        for name, df in load_all(spark, str(folder), schemas).items():
+            one, none = sorted(df.collect(), key=lambda r: r[0] is None)
+            assert len(one) == len(schemas[name].split(", ")) and all(v is not None for v in one) and all(v is None for v in none)
