@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.shared import written
 from tessella.llm.textkit import PIECE, Texts, give_back, groups, text_udf
 from tessella.llm.workers import ready
 
@@ -25,6 +26,8 @@ MAX_TEXTS, MODEL_BYTES = 3000, 128 << 20
 BITS, ORDER, TOGETHER = 8, 3, 4
 #: Bytes that one 4-gram of one language may take, lookup tables and shorter contexts included.
 GRAM_BYTES = 64
+#: Parts that equally frequent 4-grams are kept or left out by.
+TIERS = 64
 #: Bytes of text that are scored at once.
 SLICE = 1 << 17
 
@@ -196,7 +199,7 @@ def learn(docs: DataFrame, max_texts: int = MAX_TEXTS, model_bytes: int = MODEL_
 
     There may be any number of languages: the most frequent 4-grams of each are kept, as many as have room in
     ``model_bytes``. Null and empty texts teach nothing; repeated rows count as often as they are there; equally
-    frequent grams go by their bytes. Without any text there is no model.
+    frequent grams go in parts, by their hashes. Without any text there is no model.
     """
     ready()
     per = sorted(docs.groupBy("lang").count().collect(), key=lambda r: r["lang"])
@@ -230,9 +233,12 @@ def learn(docs: DataFrame, max_texts: int = MAX_TEXTS, model_bytes: int = MODEL_
             yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(32)).astype(np.int32)), pa.array((keys & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     grams = sample.mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = written(grams.withColumn("tier", F.pmod(F.xxhash64("gram"), F.lit(TIERS))), "grams")
     most = max(1, model_bytes // (GRAM_BYTES * len(per)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    got = grams.withColumn("place", place).where(F.col("place") <= most).select("lang", "gram", "n").toArrow()
+    tiers = grams.groupBy("lang", "n", "tier").count()  # few rows for each language
+    held = F.sum("count").over(Window.partitionBy("lang").orderBy(F.desc("n"), "tier"))
+    room = tiers.withColumn("held", held).where(F.col("held") <= most).select("lang", "n", "tier")
+    got = grams.join(room, ["lang", "n", "tier"], "left_semi").select("lang", "gram", "n").toArrow()
     if not got.num_rows:
         return None
     return build([r["lang"] for r in per], got["lang"].to_numpy().astype(np.int64), got["gram"].to_numpy(), got["n"].to_numpy().astype(float))
