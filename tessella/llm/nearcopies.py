@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_column: st
     text without words is in a class of its own. Null ids are larger than all others: a class of nothing else has a
     null class_id. Of different texts of a class that share its smallest id, that with the smallest text_hash
     (xxhash64 of the text) is kept; of rows that agree in id and text, all or none. Other columns are ignored; an
-    empty table gives no rows. A very long text is handled alone, by a worker that holds some thirty times its size.
+    empty table gives no rows. A very long text is handled alone, by a worker that holds some
+    twelve times its size.
     """
     own = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     own = own.withColumns({"mid": F.monotonically_increasing_id(), "text_hash": F.xxhash64("text"), "packed": packed(F.col("text"))})
