@@ -8,7 +8,9 @@ copies of all maximal exact repeats.
 
 What is shuffled is packed: a worker gathers a chunk of texts and sends, to each of many cells of the hash space,
 a few bytes for each distinct window in the chunk. So a window that is everywhere costs a cell one entry for
-each chunk. Cells answer by chunk, chunks by document; no pairs are ever made.
+each chunk. Cells answer by chunk, chunks by document; no pairs are ever made. Where there are more cells than a chunk
+has messages for, the cells form groups: a chunk sends to groups, and merges of many chunks' messages to one group
+send to its cells. So a chunk has a bounded number of messages, and none holds only a few windows, at any size.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from tessella.llm.workers import ready
 
 #: Bytes of text in a chunk, and entries that a cell of the hash space has about.
 CHUNK_BYTES, CELL = 4 << 20, 1 << 20
+#: Messages of a chunk at most: more cells than that are reached by way of merges, of about MERGE entries each.
+GROUPS, MERGE = 8192, 4 << 20
 MESSAGE = pa.schema(
     [("cell", pa.int32()), ("chunk", pa.int64()), ("first", pa.int64()), ("gaps", pa.binary()), ("wide", pa.binary()), ("hash", pa.binary()), ("ids", pa.binary()), ("flags", pa.binary()), ("base", pa.int64()), ("table", pa.binary()), ("offsets", pa.binary())]
 )
@@ -68,6 +72,51 @@ def opened(first: int, gaps: bytes, wide: bytes) -> np.ndarray:
     return first + np.concatenate(([0], np.cumsum(steps)))
 
 
+class Rows:
+    """Rows of a schema, gathered by name."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.held = schema, {name: [] for name in schema.names}
+
+    def add(self, **values) -> None:
+        for k, held in self.held.items():
+            held.append(values.get(k))
+
+    def table(self) -> pa.Table:
+        return pa.Table.from_pydict(self.held, schema=self.schema)
+
+
+def send_cells(rows: Rows, chunk: int, ordered: bool, cell: np.ndarray, place: np.ndarray, h: np.ndarray, *rest: np.ndarray, low: np.ndarray | None = None) -> None:
+    """Adds a message of entries (place and what read() gives) to each cell; sorted by cell and place. low: 16 more bits of the hash, for the cells of a group."""
+    cuts = np.flatnonzero(np.diff(cell)) + 1 if len(cell) else np.zeros(0, np.int64)
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True) if len(cell) else ():
+        start, gaps, wide = close(place[a:b])
+        if ordered:
+            more, own = (x[a:b] for x in rest)
+            base = int(own.min())
+            apart = own.astype(np.uint64) - np.array(base).astype(np.uint64)
+            extra = {"base": base, "ids": apart.astype(np.uint32 if int(apart.max()) < 2**32 else np.uint64).tobytes(), "hash": h[a:b].tobytes() + more.tobytes()}
+        else:
+            extra = {"flags": np.packbits(np.concatenate([x[a:b] for x in rest])).tobytes(), "hash": h[a:b].astype(np.uint32).tobytes() + (b"" if low is None else low[a:b].tobytes())}
+        rows.add(cell=int(cell[a]), chunk=chunk, first=start, gaps=gaps, wide=wide, **extra)
+
+
+def read(message: dict, ordered: bool) -> tuple[np.ndarray, ...]:
+    """The entries of a message: hash, second hash, id (ordered), or hash, whether it is a reference block, and whether the chunk holds it twice."""
+    n = len(message["gaps"]) + 1
+    if ordered:
+        h, more = np.frombuffer(message["hash"], np.uint64).reshape(2, n)
+        return h, more, np.frombuffer(message["ids"], np.uint32 if len(message["ids"]) == 4 * n else np.uint64).astype(np.int64) + message["base"]
+    bits = np.unpackbits(np.frombuffer(message["flags"], np.uint8), count=2 * n).astype(bool)
+    return np.frombuffer(message["hash"], np.uint32, n), bits[:n], bits[n:]
+
+
+def place_of(h: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each hash, and 16 bits that tell the cells of the group."""
+    high = (h >> U64(32)) * U64(groups)
+    return (high >> U64(32)).astype(np.int64), ((high & U64(0xFFFFFFFF)) >> U64(16)).astype(np.uint16)
+
+
 class Chunk:
     """What a worker has gathered of some texts: the windows to send, by hash, place, and the id that orders their texts.
 
@@ -75,8 +124,8 @@ class Chunk:
     two hashes of their own, 128 bits in all: what is equal there goes without another look.
     """
 
-    def __init__(self, cells: int, ordered: bool, name: str):
-        self.cells, self.ordered, self.name = cells, ordered, name
+    def __init__(self, cells: int, ordered: bool, name: str, grouped: bool = False):
+        self.cells, self.ordered, self.name, self.grouped = cells, ordered, name, grouped
         self.ids: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.n: list[np.ndarray] = []
@@ -97,7 +146,7 @@ class Chunk:
             return
         ids, keys, n = (np.concatenate(x) for x in (self.ids, self.keys, self.n))
         table, offsets = np.concatenate([ids, keys]).tobytes(), np.concatenate(([0], np.cumsum(n))).astype(np.int64).tobytes()
-        chunk = int.from_bytes(hashlib.blake2b(table + offsets + self.name.encode(), digest_size=8).digest(), "little", signed=True)
+        chunk = int.from_bytes(hashlib.blake2b(table + offsets + self.name.encode(), digest_size=8).digest(), "little") >> 1
         h, place, more, own = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.lexsort((place, own, more, h)) if self.ordered else np.argsort(h, kind="stable")
         h, place, more, own = h[order], place[order], more[order], own[order]
@@ -112,34 +161,17 @@ class Chunk:
         self_hits = np.sort(place[known])
         more = more[first] if self.ordered or not len(first) else np.logical_or.reduceat(more, first)
         h, place, own = h[first], place[first], own[first]
-        cell = ((h >> U64(32)) * U64(self.cells) >> U64(32)).astype(np.int64)
+        cell, low = place_of(h, self.cells)
         order = np.lexsort((place, cell))
-        h, place, own, cell, more, many = (x[order] for x in (h, place, own, cell, more, many))
-        rows: dict[str, list] = {f.name: [] for f in MESSAGE}
-
-        def row(**values) -> None:
-            for k in rows:
-                rows[k].append(values.get(k))
-
-        cuts = np.flatnonzero(np.diff(cell)) + 1 if len(cell) else np.zeros(0, np.int64)
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True) if len(cell) else ():
-            start, gaps, wide = close(place[a:b])
-            extra = {}
-            if self.ordered:
-                base = int(own[a:b].min())
-                apart = own[a:b].astype(np.uint64) - np.array(base).astype(np.uint64)
-                extra = {"base": base, "ids": apart.astype(np.uint32 if int(apart.max()) < 2**32 else np.uint64).tobytes()}
-            else:
-                extra = {"flags": np.packbits(np.concatenate([more[a:b], many[a:b]])).tobytes()}
-            hash_ = np.concatenate([h[a:b], more[a:b]]) if self.ordered else h[a:b].astype(np.uint32)
-            row(cell=int(cell[a]), chunk=chunk, first=start, gaps=gaps, wide=wide, hash=hash_.tobytes(), **extra)
+        h, place, own, cell, more, many, low = (x[order] for x in (h, place, own, cell, more, many, low))
+        rows = Rows(MESSAGE)
+        send_cells(rows, chunk, self.ordered, cell, place, h, more, own if self.ordered else many, low=low if self.grouped else None)
         start, gaps, wide = close(self_hits) if len(self_hits) else (None, None, None)
-        row(cell=-1 - chunk % self.cells, chunk=chunk, first=start, gaps=gaps, wide=wide, table=table, offsets=offsets)
-        for i in range(0, len(rows["cell"]), 512):
-            yield pa.RecordBatch.from_pydict({k: v[i : i + 512] for k, v in rows.items()}, schema=MESSAGE)
+        rows.add(cell=-1 - chunk % self.cells, chunk=chunk, first=start, gaps=gaps, wide=wide, table=table, offsets=offsets)
+        yield from rows.table().to_batches(512)
 
 
-def send(df: DataFrame, gather: Callable[[Chunk, pa.RecordBatch], None], cells: int, ordered: bool, column: str) -> DataFrame:
+def send(df: DataFrame, gather: Callable[[Chunk, pa.RecordBatch], None], cells: int, ordered: bool, column: str, grouped: bool = False) -> DataFrame:
     """Messages of chunks of df's rows: gather(chunk, rows) adds some rows to a chunk."""
     ready()
 
@@ -147,14 +179,14 @@ def send(df: DataFrame, gather: Callable[[Chunk, pa.RecordBatch], None], cells:
         from pyspark import TaskContext
 
         part_of, n = TaskContext.get().partitionId(), 0
-        chunk = Chunk(cells, ordered, f"{part_of}/{n}")
+        chunk = Chunk(cells, ordered, f"{part_of}/{n}", grouped)
         for batch in batches:
             for part in groups(batch, column):
                 gather(chunk, part)
                 if chunk.bytes >= CHUNK_BYTES:
                     yield from chunk.messages()
                     n += 1
-                    chunk = Chunk(cells, ordered, f"{part_of}/{n}")
+                    chunk = Chunk(cells, ordered, f"{part_of}/{n}", grouped)
                     give_back()
         yield from chunk.messages()
         give_back()
@@ -175,18 +207,16 @@ def judge_cells(messages: DataFrame, ordered: bool) -> DataFrame:
         if rows[0]["cell"] < 0:
             return messages.select(ANSWER.names).cast(ANSWER)
         rows.sort(key=lambda r: r["chunk"])
-        h = [np.frombuffer(r["hash"], np.uint64).reshape(2, -1) if ordered else np.frombuffer(r["hash"], np.uint32) for r in rows]
-        n = np.array([x.shape[-1] for x in h])
-        h, row = np.concatenate(h, axis=-1), np.repeat(np.arange(len(rows)), n)
+        parts = [read(r, ordered) for r in rows]
+        n = np.array([len(x[0]) for x in parts])
+        (h, *rest), row = [np.concatenate(x) for x in zip(*parts, strict=True)], np.repeat(np.arange(len(rows)), n)
         if ordered:
-            h, more = h
-            own = np.concatenate([np.frombuffer(r["ids"], np.uint32 if len(r["ids"]) == 4 * k else np.uint64).astype(np.int64) + r["base"] for r, k in zip(rows, n.tolist(), strict=True)])
+            more, own = rest
             order = np.lexsort((row, own, more, h))
             hit = np.zeros(len(h), bool)
             hit[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (more[order[1:]] == more[order[:-1]])
         else:
-            bits = [np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=2 * k) for r, k in zip(rows, n.tolist(), strict=True)]
-            flag, many = (np.concatenate([b[i * k : (i + 1) * k] for b, k in zip(bits, n.tolist(), strict=True)]).astype(bool) for i in (0, 1))
+            flag, many = rest
             order = np.argsort(h, kind="stable")
             first = np.flatnonzero(np.concatenate(([True], h[order[1:]] != h[order[:-1]])))
             sizes = np.diff(np.append(first, len(h)))
@@ -194,20 +224,88 @@ def judge_cells(messages: DataFrame, ordered: bool) -> DataFrame:
             hit = np.zeros(len(h), bool)
             hit[order] = np.repeat(good, sizes)
             hit &= ~many
-        out: dict[str, list] = {f.name: [] for f in ANSWER}
-        at = np.concatenate(([0], np.cumsum(n)))
+        out, at = Rows(ANSWER), np.concatenate(([0], np.cumsum(n)))
         for i, r in enumerate(rows):
             mine = hit[at[i] : at[i + 1]]
             if mine.any():
                 first, gaps, wide = close(opened(r["first"], r["gaps"], r["wide"])[mine])
-                for k, v in zip(out, (r["chunk"], first, gaps, wide, None, None), strict=True):
-                    out[k].append(v)
+                out.add(chunk=r["chunk"], first=first, gaps=gaps, wide=wide)
         give_back()
-        return pa.Table.from_pydict(out, schema=ANSWER)
+        return out.table()
 
     return messages.groupBy("cell").applyInArrow(judge, ANSWER_DDL)
 
 
+def split(messages: DataFrame, fine: int, slices: int, ordered: bool) -> DataFrame:
+    """Messages to groups as messages to the ``fine`` cells of each group, from merges: ``slices`` for each group, by chunk.
+
+    A merge is to the cells what a chunk is: its places are its entries, in the order of chunks. It has a negative
+    name, and sends itself the places of its chunks' messages, by way of cells below 0, as chunks do their tables.
+    """
+    ready()
+
+    def merge(messages: pa.Table) -> pa.Table:
+        rows = messages.to_pylist()
+        group = rows[0]["cell"]
+        if group < 0:
+            return messages.select(MESSAGE.names).cast(MESSAGE)
+        rows.sort(key=lambda r: r["chunk"])
+        name = -1 - (group * slices + rows[0]["chunk"] % slices)
+        parts = [read(r, ordered) for r in rows]
+        at = np.concatenate(([0], np.cumsum([len(x[0]) for x in parts])))
+        h, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        if ordered:
+            low = place_of(h, groups)[1]
+        else:
+            low = np.concatenate([np.frombuffer(r["hash"], np.uint16, offset=4 * len(x[0])) for r, x in zip(rows, parts, strict=True)])
+        cell = group * fine + (low.astype(np.int64) * fine >> 16)
+        order = np.argsort(cell, kind="stable")
+        out = Rows(MESSAGE)
+        send_cells(out, name, ordered, cell[order], order, h[order], *(x[order] for x in rest))
+        for r, start in zip(rows, at.tolist()):
+            out.add(cell=-1 - (-1 - name) % groups, chunk=name, first=r["first"], gaps=r["gaps"], wide=r["wide"], table=np.array([r["chunk"], start]).tobytes())
+        give_back()
+        return out.table()
+
+    groups = GROUPS
+    return messages.withColumn("slice", F.pmod("chunk", F.lit(slices))).groupBy("cell", "slice").applyInArrow(merge, MESSAGE_DDL)
+
+
+def joined_answers(answers: DataFrame) -> DataFrame:
+    """Answers to merges as answers to their chunks; those to chunks as they are."""
+    ready()
+
+    def part(answers: pa.Table) -> pa.Table:
+        rows = answers.to_pylist()
+        if rows[0]["chunk"] >= 0:
+            return answers.select(ANSWER.names).cast(ANSWER)
+        found = [opened(r["first"], r["gaps"], r["wide"]) for r in rows if r["table"] is None]
+        sent = sorted(((*np.frombuffer(r["table"], np.int64).tolist(), r) for r in rows if r["table"] is not None), key=lambda x: x[1])
+        out = Rows(ANSWER)
+        if found:
+            if not sent:
+                raise RuntimeError("a merge's table is missing: the documents must be a table, or come in the same order on each run")
+            found = np.sort(np.concatenate(found))
+            cut = np.searchsorted(found, [*(start for _, start, _ in sent), sent[-1][1] + len(sent[-1][2]["gaps"]) + 1])
+            for (chunk, start, r), a, b in zip(sent, cut[:-1].tolist(), cut[1:].tolist()):
+                if b > a:
+                    first, gaps, wide = close(opened(r["first"], r["gaps"], r["wide"])[found[a:b] - start])
+                    out.add(chunk=chunk, first=first, gaps=gaps, wide=wide)
+        give_back()
+        return out.table()
+
+    return answers.groupBy("chunk").applyInArrow(part, ANSWER_DDL)
+
+
+def ask(df: DataFrame, gather: Callable[[Chunk, pa.RecordBatch], None], cells: int, ordered: bool, column: str) -> DataFrame:
+    """Answers to the chunks of df's rows; see send() and judge_cells()."""
+    if cells <= GROUPS:
+        return judge_cells(send(df, gather, cells, ordered, column), ordered)
+    fine = -(-cells // GROUPS)
+    messages = split(send(df, gather, GROUPS, ordered, column, True), fine, -(-fine * CELL // MERGE), ordered)
+    return joined_answers(judge_cells(messages, ordered))
+
+
 def answered(answers: DataFrame, name: str) -> DataFrame:
     """doc_id, text_hash, and a list ``name`` of the hit places in the document (also an empty one)."""
     ready()
@@ -251,7 +349,7 @@ def find_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column:
         reference = (place - np.repeat(words.at[:-1], np.diff(np.searchsorted(place, words.at)))) % block == 0
         chunk.add(rows.column("doc_id").to_numpy(), rows.column("text_hash").to_numpy(), words, place, windows(h, block)[place], reference)
 
-    hits = answered(judge_cells(send(own, probe, cells, False, "text"), False), "hits").where(F.size("hits") > 0)
+    hits = answered(ask(own, probe, cells, False, "text"), "hits").where(F.size("hits") > 0)
     hits = written(hits.groupBy("doc_id", "text_hash").agg(F.first("hits").alias("hits")), "anchors")
 
     def extend(chunk: Chunk, rows: pa.RecordBatch) -> None:
@@ -268,7 +366,7 @@ def find_repeats(docs: DataFrame, window: int = 20, block: int = 10, id_column:
             chunk.add(part.column("doc_id").to_numpy(), part.column("text_hash").to_numpy(), words, place, windows(h, window)[place], windows(words.hashes(1), window)[place])
 
     sent = own.select("doc_id", "text_hash", packed(F.col("text")).alias("packed")).join(hits.hint("merge"), ["doc_id", "text_hash"]).sortWithinPartitions("doc_id", "text_hash")
-    removed = answered(judge_cells(send(sent, extend, cells, True, "packed"), True), "removed")
+    removed = answered(ask(sent, extend, cells, True, "packed"), "removed")
     return removed.groupBy("doc_id", "text_hash").agg(F.min_by("removed", F.size("removed")).alias("removed")).where(F.size("removed") > 0)
 
 

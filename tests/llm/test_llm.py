@@ -463,10 +463,13 @@ def spliced(rng, n=60):
     return out
 
 
-@pytest.mark.parametrize("chunk", [repeats.CHUNK_BYTES, 3000])
-def test_repeats_against_brute_force(spark, chunk, monkeypatch):
+@pytest.mark.parametrize(("chunk", "cell", "groups"), [(repeats.CHUNK_BYTES, 200, repeats.GROUPS), (3000, 200, repeats.GROUPS), (3000, 200, 3), (700, 40, 5)])
+def test_repeats_against_brute_force(spark, chunk, cell, groups, monkeypatch):
+    """One chunk or many; cells that chunks reach by themselves, and by merges (with few groups)."""
     monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(repeats, "CELL", 200)
+    monkeypatch.setattr(repeats, "CELL", cell)
+    monkeypatch.setattr(repeats, "GROUPS", groups)
+    monkeypatch.setattr(repeats, "MERGE", 500)
     monkeypatch.setattr(textkit, "GROUP_BYTES", 1000)
     data = spliced(random.Random(9))
     docs = spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(3, "doc_id")
